@@ -10,14 +10,16 @@ from pyspark.sql.window import Window
 
 from shoalmap.functions.ids import huc_prefix
 from shoalmap.functions.metric_names import metric_stem, parse_metric
-from shoalmap.operators.numbering import number_hashed, picked, quantiles, running
+from shoalmap.operators.numbering import number_hashed, picked, quantiles_of_counts, running, value_counts
+from shoalmap.session import cut
 
 # Smallest sample, fewest ones, training share, pseudo-species.
 MIN_SAMPLE = 32
 MIN_ONES = 8
 TRAIN_SHARE = 0.8
 PSEUDO_SPECIES = "zzzno fish"
-ROW = ["species", "estimator", "huc12", "comid"]
+# The catchment leads: sorts by row key resolve on its first characters.
+ROW = ["comid", "huc12", "species", "estimator"]
 FOLD = ["rep_idx", "split_idx"]
 
 
@@ -92,15 +94,21 @@ def widen(metric: DataFrame, keys: list[str], col: str = "stem", value: str = "v
 
 
 def species_meta(df: DataFrame, value: str = "x") -> DataFrame:
-    """describe() of each variable of each species: count, mean, std, min, quartiles, max."""
-    moments = df.groupBy("species", "var").agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    """describe() of each variable of each species: count, mean, std, min, quartiles, max.
+
+    Everything comes from one stored table of distinct values with their counts.
+    """
+    keys = ["species", "var"]
+    counts = cut(value_counts(df.filter(F.col(value).isNotNull()), keys, value), "values")
+    n, x = F.sum("_n"), F.col(value)
+    mean = F.sum(x * F.col("_n")) / n
+    rough = counts.groupBy(*keys).agg(mean.alias("mean"), n.alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    spread = (
+        counts.join(rough.select(*keys, "mean", F.col("n").alias("_size")), keys)
+        .groupBy(*keys)
+        .agg(F.sqrt(F.try_divide(F.sum(F.pow(x - F.col("mean"), 2) * F.col("_n")), F.max("_size") - 1)).alias("std"))
     )
-    return moments.join(quantiles(df, ["species", "var"], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), ["species", "var"], "left")
+    return rough.join(spread, keys).join(quantiles_of_counts(counts, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), keys)
 
 
 def basic_meta(truth: DataFrame) -> DataFrame:
@@ -236,7 +244,7 @@ def score_mlu(score: DataFrame, keys: list[str] = SCORE_KEYS) -> DataFrame:
     value = F.coalesce("value", F.lit(float("nan")))
     clean = score.select(*keys, value.alias("value"))
     top = F.col("_total").cast("double") - 1
-    bounds = picked(clean, keys, "value", {"lower": F.floor(top * 0.025), "upper": F.ceil(top * 0.975)})
+    bounds = picked(value_counts(clean, keys, "value"), keys, "value", {"lower": F.floor(top * 0.025), "upper": F.ceil(top * 0.975)})
     known = F.nanvl("value", F.lit(None).cast("double"))
     means = clean.groupBy(*keys).agg(F.avg(known).alias("mean"))
     null = F.lit(None).cast("double")

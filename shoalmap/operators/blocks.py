@@ -40,9 +40,10 @@ def paired_blocks(
     donor_ids: list[str],
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Partial results of `fn(query block, donor block)` for all pairs of blocks of a key."""
+    rows = rows or BLOCK_ROWS
     if not keys:
         keys = ["_all"]
         queries, donors = queries.withColumn("_all", F.lit(0)), donors.withColumn("_all", F.lit(0))
@@ -55,7 +56,9 @@ def paired_blocks(
 
     on = [*keys, "_qb", "_db"]
     left = repeat(q, d_big, "_db").groupBy(*on)
-    right = repeat(d, q_big, "_qb").groupBy(*on)
+    far = repeat(d, q_big, "_qb")
+    # Both sides may come from one table; new column ids keep a cogroup from mixing them up.
+    right = far.select(*[F.col(c).alias(c) for c in far.columns]).groupBy(*on)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoalmap.functions.ids import huc_prefix
 from shoalmap.functions.records import override_struct
 from shoalmap.operators.numbering import spread_join
+from shoalmap.session import cut
 
 
 def attach_huc12(df: DataFrame, crosswalk: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,9 +43,17 @@ def presence_absence(survey: DataFrame, species_range: DataFrame | None = None)
     """(species, huc8, comid, presence) for every surveyed catchment in a HUC8 of the species.
 
     A HUC8 belongs to a species if it was found there, or, with a range list, if it is a surveyed
-    HUC8 of its range. A HUC8 with very many catchments is spread over several tasks.
+    HUC8 of its range. The observations are read once: their distinct pairs are written and used
+    three times.
+    """
+    return presence_of_pairs(cut(survey.select("species", "comid", "huc8").distinct(), "pairs"), species_range)
+
+
+def presence_of_pairs(pairs: DataFrame, species_range: DataFrame | None = None) -> DataFrame:
+    """As `presence_absence`, from a stored table of distinct (species, comid, huc8).
+
+    A HUC8 with very many catchments is spread over several tasks.
     """
-    pairs = survey.select("species", "comid", "huc8").distinct()
     sites = pairs.select("comid", "huc8").distinct()
     where = pairs.select("species", "huc8").distinct()
     if species_range is not None:

@@ -20,7 +20,8 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], **measure
     """Add running values inside `keys` along `order`, which must be unique inside the keys.
 
     Each measure is (kind, column): `row` 1-based position, `sum` inclusive running sum,
-    `before` running sum of the earlier rows, `min` running minimum, `prev` value of the row before.
+    `before` running sum of the earlier rows, `total` sum over the whole key, `min` running minimum,
+    `prev` value of the row before. `df` is computed once: what follows reads the written pieces.
     """
     sort = [F.col(o) if isinstance(o, str) else o for o in order]
     # The piece number must not change between its two uses, so the ranged rows are written once.
@@ -45,6 +46,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], **measure
             carries.append(F.coalesce(F.sum(carry).over(earlier), F.lit(0)).alias(carry))
             total = F.sum(col).over(upto) + F.col(carry)
             finals.append((total - F.col(col) if kind == "before" else total).alias(name))
+        elif kind == "total":
+            totals.append(F.sum(col).alias(carry))
+            carries.append(F.sum(carry).over(Window.partitionBy(*keys)).alias(carry))
+            finals.append(F.col(carry).alias(name))
         elif kind == "min":
             totals.append(F.min(col).alias(carry))
             carries.append(F.min(carry).over(earlier).alias(carry))
@@ -85,35 +90,35 @@ def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def picked(df: DataFrame, keys: list[str], col: str, places: dict[str, Column]) -> DataFrame:
-    """Values at 0-based places of the sorted group. A place may use `_total`, the group's size."""
-    counts = value_counts(df, keys, col)
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    run = running(counts, keys, [col], _upto=("sum", "_n")).join(sizes, keys)
+def picked(counts: DataFrame, keys: list[str], col: str, places: dict[str, Column]) -> DataFrame:
+    """Values at 0-based places of each sorted group, from `value_counts`. A place may use `_total`,
+    the size of the group, which comes along in the result."""
+    run = running(counts, keys, [col], _upto=("sum", "_n"), _total=("total", "_n"))
     inside = lambda place: (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
     return run.groupBy(*keys).agg(
-        *[F.max(F.when(inside(place), F.col(col))).alias(name) for name, place in places.items()]
+        F.max("_total").alias("_total"), *[F.max(F.when(inside(place), F.col(col))).alias(name) for name, place in places.items()]
     )
 
 
-def quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group; NULLs do not count."""
+def quantiles_of_counts(counts: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per group from `value_counts`; NULLs do not count."""
+    at = F.col("_total").cast("double") - 1
     places = {}
     for name, p in probs.items():
-        at = F.col("_total").cast("double") - 1
         places[f"_lo_{name}"] = F.floor(at * p)
         places[f"_hi_{name}"] = F.ceil(at * p)
-    clean = df.filter(F.col(col).isNotNull())
-    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    values = picked(clean, keys, col, places).join(sizes, keys)
+    values = picked(counts.filter(F.col(col).isNotNull()), keys, col, places)
     out = []
     for name, p in probs.items():
-        at = (F.col("_size").cast("double") - 1) * p
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        out.append((lo + (hi - lo) * (at * p - F.floor(at * p))).alias(name))
     return values.select(*keys, *out)
 
 
+def quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
+    return quantiles_of_counts(value_counts(df, keys, col), keys, col, probs)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], split_by: list[str], rows: int = 1_000_000) -> DataFrame:
     """Inner equi-join in which a key with more than `rows` left rows is cut into several keys.
 

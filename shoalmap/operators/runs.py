@@ -55,11 +55,17 @@ def best_iteration(trace: DataFrame, keys: list[str], step: str, loss: str) -> D
     return run.select(*trace.columns, F.col("_best.loss").alias("best_loss"), F.col("_best.step").alias("best_step"))
 
 
+def _seconds(after: Column, before: Column) -> Column:
+    """Difference in seconds, part by part, so that no time zone comes into it."""
+    parts = F.datediff(after, before) * 86400 + (F.hour(after) - F.hour(before)) * 3600 + (F.minute(after) - F.minute(before)) * 60
+    second = lambda c: F.extract(F.lit("SECOND"), c).cast("double")
+    return parts + (second(after) - second(before))
+
+
 def save_gap(runs: DataFrame, keys: list[str], when: str = "when_saved", order: str = "run_seq") -> DataFrame:
     """Seconds since the save before, per key."""
     run = running(runs, keys, [when, order], _before=("prev", when))
-    gap = (F.unix_micros(F.col(when)) - F.unix_micros(F.col("_before"))) / F.lit(1e6)
-    return run.select(*runs.columns, gap.alias("gap_seconds"))
+    return run.select(*runs.columns, _seconds(F.col(when), F.col("_before")).alias("gap_seconds"))
 
 
 def runs_by_species(runs: DataFrame, size: int = 100_000) -> DataFrame:

@@ -485,15 +485,15 @@ def _(v):
 
 THRESHOLDS = """t AS (SELECT species, (avg(yhat) FILTER (y = 0) + avg(yhat) FILTER (y = 1)) / 2 AS avgavg, avg(yhat) AS wtavgavg,
        (median(yhat) FILTER (y = 0) + median(yhat) FILTER (y = 1)) / 2 AS avgmed FROM pred GROUP BY species),
-       th AS (SELECT species, 'avgavg' AS threshold, round(avgavg, 9) + 1e-7 AS t FROM t UNION ALL SELECT species, 'wtavgavg', round(wtavgavg, 9) + 1e-7 FROM t
-       UNION ALL SELECT species, 'avgmed', round(avgmed, 9) + 1e-7 FROM t
-       UNION ALL SELECT species, c.n, c.t + 1e-7 FROM t, (VALUES ('0.45', CAST(0.45 AS DOUBLE)), ('0.5', 0.5), ('0.55', 0.55), ('1', 1), ('0', 0)) c(n, t))"""
+       th AS (SELECT species, 'avgavg' AS threshold , avgavg AS t FROM t UNION ALL SELECT species, 'wtavgavg', wtavgavg FROM t
+       UNION ALL SELECT species, 'avgmed', avgmed FROM t
+       UNION ALL SELECT species, c.n, c.t FROM t, (VALUES ('0.45', CAST(0.45 AS DOUBLE)), ('0.5', 0.5), ('0.55', 0.55), ('1', 1), ('0', 0)) c(n, t))"""
 
 
 @query(
     "d36_threshold_loss",
     "pred",
-    f"""WITH {THRESHOLDS} SELECT species, threshold, {R("avg(CASE WHEN CAST(yhat > t AS INTEGER) <> y THEN 1 ELSE 0 END)", "loss")} FROM pred JOIN th USING (species) GROUP BY ALL""",
+    f"""WITH {THRESHOLDS} SELECT species, threshold, {R("avg(CASE WHEN CAST(round(yhat, 9) > round(t, 9) AS INTEGER) <> y THEN 1 ELSE 0 END)", "loss")} FROM pred JOIN th USING (species) GROUP BY ALL""",
 )
 def _(v):
     return ls.threshold_loss(v.pred).withColumn("loss", r6("loss"))

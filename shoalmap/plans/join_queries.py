@@ -201,8 +201,8 @@ def _(v):
 
 
 PLAN = """plan AS (SELECT DISTINCT species, config_id, batchcount FROM model_runs),
-       done AS (SELECT DISTINCT species, config_id, batchcount FROM model_runs WHERE loss < 0.2),
-       failed AS (SELECT DISTINCT species, config_id, batchcount FROM model_runs WHERE loss > 1.5)"""
+       done AS (SELECT DISTINCT species, config_id, batchcount FROM model_runs WHERE loss < 0.02),
+       failed AS (SELECT DISTINCT species, config_id, batchcount FROM model_runs WHERE loss > 0.5)"""
 WORK = ["species", "config_id", "batchcount"]
 
 
@@ -210,8 +210,8 @@ def plan_done_failed(v):
     runs = v.model_runs
     return (
         runs.select(*WORK).distinct(),
-        runs.filter(C("loss") < 0.2).select(*WORK).distinct(),
-        runs.filter(C("loss") > 1.5).select(*WORK).distinct(),
+        runs.filter(C("loss") < 0.02).select(*WORK).distinct(),
+        runs.filter(C("loss") > 0.5).select(*WORK).distinct(),
     )
 
 
@@ -277,17 +277,17 @@ def _(v):
 @query(
     "c19_partial_match",
     "model_runs",
-    """WITH t AS (SELECT DISTINCT species AS target, species, config_id, 2 + batchcount AS batchcount FROM model_runs WHERE loss > 1.0),
-       r AS (SELECT run_seq, species, config_id, batchcount FROM model_runs WHERE loss <= 0.3),
+    """WITH t AS (SELECT DISTINCT species AS target, species, config_id, 2 + batchcount AS batchcount FROM model_runs WHERE loss > 0.5),
+       r AS (SELECT run_seq, species, config_id, batchcount FROM model_runs WHERE loss <= 0.1),
        m AS (SELECT t.target, r.*, CASE WHEN r.config_id = t.config_id AND r.batchcount = t.batchcount THEN 0 WHEN r.config_id = t.config_id THEN 1 ELSE 2 END AS match_level,
              t.config_id AS tc, t.batchcount AS tb FROM t JOIN r ON r.species = t.species)
        SELECT target || '/' || tc || '/' || CAST(tb AS STRING) AS target, run_seq, species, config_id, batchcount, match_level FROM
        (SELECT *, min(match_level) OVER (PARTITION BY target, tc, tb) AS best FROM m) WHERE match_level = best""",
 )
 def _(v):
-    targets = v.model_runs.filter(C("loss") > 1.0).select("species", "config_id", (2 + C("batchcount")).alias("batchcount")).distinct()
+    targets = v.model_runs.filter(C("loss") > 0.5).select("species", "config_id", (2 + C("batchcount")).alias("batchcount")).distinct()
     targets = targets.withColumn("target", F.concat_ws("/", "species", "config_id", "batchcount"))
-    runs = v.model_runs.filter(C("loss") <= 0.3).select("run_seq", "species", "config_id", "batchcount")
+    runs = v.model_runs.filter(C("loss") <= 0.1).select("run_seq", "species", "config_id", "batchcount")
     return joins.partial_match(runs, targets, "target", ["species", "config_id", "batchcount"], ["batchcount", "config_id"])
 
 

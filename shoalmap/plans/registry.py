@@ -11,6 +11,7 @@ from shoalmap.plans.views import Views, sql_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, Callable[[Views], DataFrame]] = {}
 
 
 def query(name: str, views: str = "", sql: str | None = None):
@@ -19,6 +20,7 @@ def query(name: str, views: str = "", sql: str | None = None):
     def wrap(fn: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
+        BODIES[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql_with(tuple(views.split()), sql)

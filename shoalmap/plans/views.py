@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalmap.operators.joins import presence_absence
+from shoalmap.operators.joins import presence_of_pairs
+from shoalmap.session import cut
 
 # Fixed values of the test views.
 ESTIMATORS = (("lpm", 1), ("logit", 2), ("svc", 3))
@@ -37,7 +38,7 @@ def _huc8():
 
 
 class Views:
-    """Lazy DataFrames for one scale directory; nothing runs until an action."""
+    """DataFrames for one scale directory, lazy but for the stored `pairs`."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -78,6 +79,11 @@ class Views:
             .distinct()
         )
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Distinct (species, comid, huc8), written once per run: truth and coef both start here."""
+        return cut(self.survey.select("species", "comid", "huc8").distinct(), "pairs")
+
     @cached_property
     def species_range(self) -> DataFrame:
         return (
@@ -107,8 +113,7 @@ class Views:
 
     @cached_property
     def truth(self) -> DataFrame:
-        pairs = self.survey.select("species", "comid", "huc8").distinct()
-        found = presence_absence(pairs)
+        found = presence_of_pairs(self.pairs)
         return found.join(self.crosswalk, "comid").select(
             "species", "huc12", "comid", F.col("presence").alias("y")
         )
@@ -182,7 +187,7 @@ class Views:
     @cached_property
     def coef(self) -> DataFrame:
         return (
-            self.survey.select("species")
+            self.pairs.select("species")
             .distinct()
             .select("species", F.inline(F.array(*[F.struct(F.lit(n).alias("estimator"), F.lit(k).alias("_e")) for n, k in ESTIMATORS])))
             .select("*", _pairs(VARIABLES, "var"))
