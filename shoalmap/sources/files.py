@@ -21,7 +21,8 @@ CHUNK_ROWS = 50_000
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; every value stays text, empty ones too."""
-    return spark.read.csv(path, header=True, inferSchema=False, emptyValue="", nullValue="\u0000")
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def read_crosswalk(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
