@@ -291,6 +291,7 @@ def _(v):
     "pred",
     """SELECT CASE WHEN estimator = 'logit' THEN 'lpm' ELSE estimator END AS estimator, species, huc12, comid,
        CAST(rep_idx + CASE WHEN estimator = 'lpm' THEN 2 ELSE 0 END AS BIGINT) AS rep_idx, split_idx, yhat FROM pred""",
+    digest=("species estimator rep_idx split_idx", "yhat"),
 )
 def _(v):
     # Runs named logit and lpm become two runs of one estimator, in the order of their names.
@@ -337,6 +338,7 @@ def one_scorer(v):
     "d28_make_weight",
     "pred fit_score",
     f"WITH {WT} SELECT species, estimator, huc12, comid, rep_idx, split_idx, {R('wt', 'wt')}, {R('fit', 'fit')}, {R('diff', 'diff')}, CAST(1 AS DOUBLE) AS one FROM w",
+    digest=("species estimator rep_idx", "wt fit diff"),
 )
 def _(v):
     keys = [*ag.ROW, *ag.FOLD]
@@ -348,7 +350,7 @@ def _(v):
     return out
 
 
-@query("d29_cvnorm", "pred fit_score", f"WITH {NORM} SELECT species, estimator, huc12, comid, rep_idx, split_idx, {R('nwt', 'wt')} FROM nw")
+@query("d29_cvnorm", "pred fit_score", f"WITH {NORM} SELECT species, estimator, huc12, comid, rep_idx, split_idx, {R('nwt', 'wt')} FROM nw", digest=("species estimator rep_idx", "wt"))
 def _(v):
     return im.cvnorm(im.make_weight(v.pred, one_scorer(v))).drop("y").withColumn("wt", r6("wt"))
 
@@ -357,6 +359,7 @@ def _(v):
     "d30_cv_weighted_coef",
     "pred coef fit_score",
     f"WITH {ROWC} SELECT species, estimator, huc12, comid, var, {R('coef', 'coef')} FROM rc",
+    digest=("huc12 var", "coef"),
 )
 def _(v):
     return im.cv_weighted_coef(v.coef, im.make_weight(v.pred, one_scorer(v))).withColumn("coef", r6("coef"))
@@ -368,6 +371,7 @@ def _(v):
     f"""WITH {WT}, rw AS (SELECT species, estimator, huc12, comid, rep_idx, avg(wt) AS wt FROM w GROUP BY ALL),
        c AS (SELECT species, estimator, var, rep_idx, avg(value) AS value FROM coef GROUP BY ALL)
        SELECT species, estimator, huc12, comid, var, {R("sum(wt * value) / sum(wt)", "coef")} FROM rw JOIN c USING (species, estimator, rep_idx) GROUP BY ALL""",
+    digest=("huc12 var", "coef"),
 )
 def _(v):
     return im.cv_weighted_coef(v.coef, im.make_weight(v.pred, one_scorer(v)), "split").withColumn("coef", r6("coef"))
@@ -378,6 +382,7 @@ def _(v):
     "truth coef",
     f"""WITH c AS (SELECT species, estimator, var, avg(value) AS coef FROM coef GROUP BY ALL)
        SELECT species, estimator, huc12, comid, var, {R("coef", "coef")} FROM truth JOIN c USING (species)""",
+    digest=("huc12 var", "coef"),
 )
 def _(v):
     return im.cv_weighted_coef(v.coef, im.make_weight(v.pred, one_scorer(v)), True).withColumn("coef", r6("coef"))
@@ -408,6 +413,7 @@ def _(v):
     "d32_presence_split",
     "pred coef fit_score",
     f"WITH {ROWC} SELECT y AS side, species, estimator, huc12, comid, var, {R('coef', 'coef')} FROM rc JOIN truth USING (species, huc12, comid)",
+    digest=("side huc12 var", "coef"),
 )
 def _(v):
     absent, present = im.presence_split(im.cv_weighted_coef(v.coef, im.make_weight(v.pred, one_scorer(v))), v.truth)

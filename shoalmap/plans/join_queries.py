@@ -95,7 +95,7 @@ def _(v):
     return joins.missing_comids(v.truth, v.crosswalk, 8)
 
 
-@query("c08_align_truth", "pred", "SELECT species, estimator, huc12, comid, rep_idx, split_idx, yhat, y FROM pred")
+@query("c08_align_truth", "pred", "SELECT species, estimator, huc12, comid, rep_idx, split_idx, yhat, y FROM pred", digest=("species estimator rep_idx split_idx", "yhat y"))
 def _(v):
     return joins.align_truth(v.pred, v.truth)
 
@@ -182,6 +182,7 @@ def _(v):
     "truth features coef",
     f"""WITH b AS (SELECT species, estimator, var, avg(value) AS b FROM coef GROUP BY 1, 2, 3)
        SELECT species, estimator, huc12, comid, var, {R("x * b", "xb")} FROM truth JOIN features USING (comid) JOIN b USING (species, var)""",
+    digest=("huc12 var", "xb"),
 )
 def _(v):
     x = v.truth.select("species", "huc12", "comid").join(v.features, "comid")
@@ -193,6 +194,7 @@ def _(v):
     "pred features coef",
     f"""WITH b AS (SELECT species, estimator, huc12, comid, var, sum(yhat * value) AS b FROM pred JOIN coef USING (species, estimator, rep_idx, split_idx) GROUP BY ALL)
        SELECT species, estimator, huc12, comid, var, {R("x * b", "xb")} FROM b JOIN features USING (comid, var)""",
+    digest=("huc12 var", "xb"),
 )
 def _(v):
     x = v.truth.select("species", "huc12", "comid").join(v.features, "comid")

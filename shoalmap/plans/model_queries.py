@@ -105,6 +105,7 @@ def _(v):
     "truth features",
     f"""WITH x AS (SELECT species, huc12, comid, var, x FROM truth JOIN features USING (comid)), s AS (SELECT species, var, avg(x) AS m, stddev_samp(x) AS s FROM x GROUP BY ALL)
        SELECT species, huc12, comid, var, {R("coalesce((x - m) / nullif(s, 0), CASE WHEN x IS NOT NULL THEN 0 END)", "x")} FROM x JOIN s USING (species, var)""",
+    digest=("species var", "x"),
 )
 def _(v):
     return ft.build_x_train(v.truth, v.features).withColumn("x", r6("x"))

@@ -247,6 +247,7 @@ def _(v):
     "b19_diff_score",
     "pred",
     f"""SELECT species, estimator, comid, rep_idx, {R("exp(-abs(yhat - y))", "good")}, {R("-exp(abs(yhat - y))", "legacy")} FROM pred""",
+    digest=("species estimator rep_idx", "good legacy"),
 )
 def _(v):
     y, p = C("y"), C("yhat")
