@@ -207,12 +207,13 @@ def classify(prob: DataFrame, threshold: float = 0.5, include_absent: bool = Fal
     return labelled.filter(F.col("kind").isNotNull())
 
 
-def merge_species(prob: DataFrame, how: str = "sum") -> DataFrame:
+def merge_species(prob: DataFrame, how: str | list[str] = "sum") -> DataFrame:
     """One value per location over all species: `sum`, `mean`, `inverse_sum` = mean(1 - y), or
-    `inverse_total` = sum(1 - y), the older meaning."""
+    `inverse_total` = sum(1 - y), the older meaning. A list gives a column per kind from one pass."""
     y = F.col("y")
-    agg = {"sum": F.sum(y), "mean": F.avg(y), "inverse_sum": F.avg(1 - y), "inverse_total": F.sum(1 - y)}[how]
-    return prob.groupBy("huc12", "comid").agg(agg.alias("y"))
+    kinds = {"sum": F.sum(y), "mean": F.avg(y), "inverse_sum": F.avg(1 - y), "inverse_total": F.sum(1 - y)}
+    wanted = [kinds[how].alias("y")] if isinstance(how, str) else [kinds[h].alias(h) for h in how]
+    return prob.groupBy("huc12", "comid").agg(*wanted)
 
 
 def value_range(df: DataFrame, col: str) -> DataFrame:

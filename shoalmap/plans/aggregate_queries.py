@@ -239,9 +239,7 @@ def _(v):
 )
 def _(v):
     prob = ag.cv_probability(v.pred, ["species", "huc12", "comid"])
-    out = ag.merge_species(prob, "sum").withColumnRenamed("y", "total")
-    for how in ("mean", "inverse_sum", "inverse_total"):
-        out = out.join(ag.merge_species(prob, how).withColumnRenamed("y", how), ["huc12", "comid"])
+    out = ag.merge_species(prob, ["sum", "mean", "inverse_sum", "inverse_total"]).withColumnRenamed("sum", "total")
     return out.select("huc12", "comid", *[r6(c).alias(c) for c in ("total", "mean", "inverse_sum", "inverse_total")])
 
 
