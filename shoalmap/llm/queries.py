@@ -29,3 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.substring_dedup import repeats_digest
 
     return repeats_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
