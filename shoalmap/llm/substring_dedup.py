@@ -4,7 +4,7 @@
    hash. Equal windows have equal anchors, so windows that recur have anchors that recur. Shards send
    the distinct hashes of their anchors; those seen twice anywhere come back.
 2. Each shard compiles an Aho-Corasick automaton of its recurring phrases and streams all its
-   documents through it. Windows around the places found are the candidates; their 128-bit hashes,
+   documents through it. Windows around the places found are the candidates; their 96-bit hashes,
    with the first place in the shard, are grouped over all shards. This confirms the passages and
    gives the first place of each window in the corpus.
 3. Shards get back the windows that also start elsewhere or twice, and mark the words of every
@@ -23,7 +23,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -109,7 +109,7 @@ def _candidates(block: Block, machine, window: int, phrase: int) -> np.ndarray:
 
 
 def _send_windows(window: int, phrase: int):
-    schema = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("twice", pa.bool_())])
+    schema = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("place", pa.int64()), ("twice", pa.bool_())])
 
     def send(key, docs, recurring):
         if not recurring.num_rows or not docs.num_rows:
@@ -122,7 +122,7 @@ def _send_windows(window: int, phrase: int):
         for block in blocks(texts):
             at = _candidates(block, machine, window, phrase)
             if len(at):
-                parts.append((block.hashes(at, window), block.hashes(at, window, 1), *_places(block, ids, again, at)))
+                parts.append((block.hashes(at, window), (block.hashes(at, window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32), *_places(block, ids, again, at)))
         if not parts:
             return schema.empty_table()
         h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -133,7 +133,7 @@ def _send_windows(window: int, phrase: int):
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(h1)))
         shard = np.full(len(at), key[0].as_py(), dtype=np.int32)
-        return pa.Table.from_arrays([pa.array(x) for x in (shard, signed(h1[at]), signed(h2[at]), doc[at], place[at], n > 1)], schema=schema)
+        return pa.Table.from_arrays([pa.array(x) for x in (shard, signed(h1[at]), h2[at], doc[at], place[at], n > 1)], schema=schema)
 
     return send
 
@@ -141,27 +141,19 @@ def _send_windows(window: int, phrase: int):
 def _mark(window: int, out: pa.Schema):
     def mark(key, docs, known):
         texts, ids, again, docs = _ordered(docs)
-        h1 = known["h1"].to_numpy()
-        order = np.argsort(h1, kind="stable")
-        h1, h2, doc, place = h1[order], *(known[c].to_numpy()[order] for c in ("h2", "doc", "place"))
+        h = known["h"].to_numpy()
+        order = np.argsort(h, kind="stable")
+        # Windows that start first in another shard have no first place here: all of them go.
+        h, doc, place = h[order], *(known[c].combine_chunks().fill_null(-1).to_numpy()[order] for c in ("doc", "place"))
         kept, n_words, n_removed, spans = [None] * len(texts), [0] * len(texts), [0] * len(texts), [[]] * len(texts)
         for block in blocks(texts):
             gone = np.zeros(len(block.words), dtype=bool)
             at = block.whole(window)
-            if len(at) and len(h1):
-                a = signed(block.hashes(at, window))
-                spot = np.minimum(np.searchsorted(h1, a), len(h1) - 1)
-                hit = h1[spot] == a
+            if len(at) and len(h):
+                own = signed(block.hashes(at, window))
+                spot = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[spot] == own
                 at, spot = at[hit], spot[hit]
-                b = signed(block.hashes(at, window, 1)) if len(at) else a[:0]
-                # Windows that share the first half of the hash stand side by side.
-                while len(off := np.flatnonzero(h2[spot] != b)) and len(off := off[(spot[off] + 1 < len(h1))]):
-                    off = off[h1[spot[off] + 1] == h1[spot[off]]]
-                    if not len(off):
-                        break
-                    spot[off] += 1
-                same = h2[spot] == b
-                at, spot = at[same], spot[same]
                 d, p = _places(block, ids, again, at)
                 at = at[(doc[spot] != d) | (place[spot] != p)]
                 change = np.zeros(len(block.words) + 1, dtype=np.int64)
@@ -194,21 +186,22 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     out, end exclusive). A word goes if a window of `window` words around it starts earlier as well.
     """
     base = sharded(docs, shard_count(docs))
-    # Dealt out by hash once; the aggregate and the join below read the same exchange.
-    anchors = base.groupBy("shard").applyInArrow(_send_anchors(window, phrase), "shard int, h long, twice boolean").repartition("h")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("any")).filter("n > 1 OR any").select("h")
-    recurring = anchors.join(twice, "h").select("shard", "h")
+    # A group below has one row per shard at most, so a window over it sees each exchange once and
+    # joins nothing back.
+    anchors = base.groupBy("shard").applyInArrow(_send_anchors(window, phrase), "shard int, h long, twice boolean")
+    same = Window.partitionBy("h")
+    anchors = anchors.withColumns({"n": F.count("*").over(same), "any": F.max("twice").over(same)})
+    recurring = anchors.filter("n > 1 OR any").select("shard", "h")
     windows = (
         base.groupBy("shard")
         .cogroup(recurring.groupBy("shard"))
-        .applyInArrow(_send_windows(window, phrase), "shard int, h1 long, h2 long, doc long, place long, twice boolean")
-        .repartition("h1", "h2")
+        .applyInArrow(_send_windows(window, phrase), "shard int, h1 long, h2 int, doc long, place long, twice boolean")
     )
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
-    known = (
-        windows.join(first, ["h1", "h2"])
-        .filter("twice OR (n > 1 AND (doc <> first.doc OR place <> first.place))")
-        .select("shard", "h1", "h2", "first.doc", "first.place")
+    same = Window.partitionBy("h1", "h2")
+    windows = windows.withColumns({"first": F.min(F.struct("doc", "place")).over(same), "n": F.count("*").over(same)})
+    here = F.expr("doc = first.doc AND place = first.place")
+    known = windows.filter(F.col("twice") | ((F.col("n") > 1) & ~here)).select(
+        "shard", F.col("h1").alias("h"), F.when(here, F.col("doc")).alias("doc"), F.when(here, F.col("place")).alias("place")
     )
     kept = [StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", SPANS)]
     schema = StructType([*base.drop("shard").schema.fields, *kept])
