@@ -4,7 +4,7 @@
    hash. Equal windows have equal anchors, so windows that recur have anchors that recur. Shards send
    the distinct hashes of their anchors; those seen twice anywhere come back.
 2. Each shard compiles an Aho-Corasick automaton of its recurring phrases and streams all its
-   documents through it. Windows around the places found are the candidates; their 96-bit hashes,
+   documents through it. Windows around the places found are the candidates; their 95-bit hashes,
    with the first place in the shard, are grouped over all shards. This confirms the passages and
    gives the first place of each window in the corpus.
 3. Shards get back the windows that also start elsewhere or twice, and mark the words of every
@@ -109,7 +109,7 @@ def _candidates(block: Block, machine, window: int, phrase: int) -> np.ndarray:
 
 
 def _send_windows(window: int, phrase: int):
-    schema = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("place", pa.int64()), ("twice", pa.bool_())])
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "doc", "place", "tag")])
 
     def send(key, docs, recurring):
         if not recurring.num_rows or not docs.num_rows:
@@ -122,7 +122,7 @@ def _send_windows(window: int, phrase: int):
         for block in blocks(texts):
             at = _candidates(block, machine, window, phrase)
             if len(at):
-                parts.append((block.hashes(at, window), (block.hashes(at, window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32), *_places(block, ids, again, at)))
+                parts.append((block.hashes(at, window), (block.hashes(at, window, 1) >> np.uint64(33)).view(np.int64), *_places(block, ids, again, at)))
         if not parts:
             return schema.empty_table()
         h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -132,8 +132,9 @@ def _send_windows(window: int, phrase: int):
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(h1)))
-        shard = np.full(len(at), key[0].as_py(), dtype=np.int32)
-        return pa.Table.from_arrays([pa.array(x) for x in (shard, signed(h1[at]), h2[at], doc[at], place[at], n > 1)], schema=schema)
+        # Few wide columns: the shard, 31 more bits of hash and whether it is here twice share one.
+        tag = (key[0].as_py() << 32) | (h2[at] << 1) | (n > 1)
+        return pa.Table.from_arrays([pa.array(x) for x in (signed(h1[at]), doc[at], place[at], tag)], schema=schema)
 
     return send
 
@@ -195,8 +196,11 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     windows = (
         base.groupBy("shard")
         .cogroup(recurring.groupBy("shard"))
-        .applyInArrow(_send_windows(window, phrase), "shard int, h1 long, h2 int, doc long, place long, twice boolean")
+        .applyInArrow(_send_windows(window, phrase), "h1 long, doc long, place long, tag long")
+        .repartition("h1")
     )
+    parts = {"shard": F.shiftright("tag", 32).cast("int"), "h2": F.col("tag").bitwiseAND((1 << 32) - 2), "twice": F.col("tag").bitwiseAND(1) == 1}
+    windows = windows.withColumns(parts).drop("tag")
     same = Window.partitionBy("h1", "h2")
     windows = windows.withColumns({"first": F.min(F.struct("doc", "place")).over(same), "n": F.count("*").over(same)})
     here = F.expr("doc = first.doc AND place = first.place")
