@@ -43,3 +43,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.toxicity import toxicity_digest
 
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
