@@ -37,15 +37,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from shoalmap.llm.words import BLOCK_BYTES
+from shoalmap.session import cut
 
 MAX_DOCS = 20_000
-MAX_SENTENCES = 8
+MAX_SENTENCES = 4
 LANDMARKS = 64
 ORDER = 3
 DECAY = 0.75
 LEAST = 0.35
 LEAN = 3.2
 LONGEST = 48
+KNOWN = 400_000
 
 _INSIDE = b".*_-'`~^+#@$%&\\\"=<>"
 _TABLE = bytes(32 if c < 128 and not (chr(c).isalnum() or c == 1) else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -156,17 +158,31 @@ class Landmarks:
     def __post_init__(self):
         self.masks = [np.bitwise_or.reduce(_LETTER[np.frombuffer(w, np.uint8)]) for w in self.words]
         self.own = own_kernel(self.words)
+        self.known: dict[bytes, tuple] = {}
 
     def matches(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number, landmark, normalised kernel) of all words that match a landmark."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not words:
             return none
-        distinct = list(dict.fromkeys(words))
+        if len(self.known) > KNOWN:
+            self.known = {}
+        known = self.known
+        distinct = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(dict.fromkeys(distinct, ()))
+        if distinct:
+            self._learn(distinct)
+        found = [(i, k, x) for i, w in enumerate(words) if (m := known[w]) for k, x in m]
+        if not found:
+            return none
+        i, k, x = zip(*found, strict=True)
+        return np.array(i), np.array(k), np.array(x)
+
+    def _learn(self, distinct: list[bytes]) -> None:
+        """Matches of words not met before; a word is met in many blocks."""
         data = np.frombuffer(b"".join(distinct), dtype=np.uint8)
         size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
         mask = np.bitwise_or.reduceat(_LETTER[data], np.cumsum(size) - size)
-        values: dict[bytes, list[tuple[int, float]]] = {}
         for k, (landmark, own) in enumerate(zip(self.masks, self.own, strict=True)):
             length = len(self.words[k])
             need = -(-2 * int(np.bitwise_count(landmark)) // 3)
@@ -188,12 +204,7 @@ class Landmarks:
                 some = [some[i] for i in close.tolist()]
                 for w, x in zip(some, (value[close] / np.sqrt(own * own_kernel(some))).tolist(), strict=True):
                     if x >= LEAST:
-                        values.setdefault(w, []).append((k, x))
-        if not values:
-            return none
-        found = [(i, k, x) for i, w in enumerate(words) if w in values for k, x in values[w]]
-        i, k, x = zip(*found, strict=True)
-        return np.array(i), np.array(k), np.array(x)
+                        self.known[w] = (*self.known[w], (k, x))
 
 
 def sentence_features(texts: list[str | None], landmarks: Landmarks):
@@ -248,22 +259,30 @@ class Model:
 
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps with halving, to the tolerance."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(z.shape[1], 1.0)
+    n, width = x.shape[0], x.shape[1] + 1
+    ridge = np.full(width, 1.0)
     ridge[-1] = 1e-6
-    w = np.zeros(z.shape[1])
+    w = np.zeros(width)
+
+    def blocks_of():
+        # A few thousand rows at a time, so no copy of all sentences is made.
+        for k in range(0, n, 4096):
+            rows = x[k : k + 4096].astype(np.float64)
+            yield np.hstack([rows, np.ones((len(rows), 1))]), y[k : k + 4096], weight[k : k + 4096]
 
     def loss(w):
-        slack = np.maximum(0, 1 - y * (z @ w))
-        return 0.5 * (ridge * w) @ w + cost * (weight * slack) @ slack
+        return 0.5 * (ridge * w) @ w + cost * sum(float(u @ np.maximum(0, 1 - t * (z @ w)) ** 2) for z, t, u in blocks_of())
 
     while True:
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        gradient = ridge * w - 2 * cost * z[on].T @ (weight * y * slack)[on]
+        gradient, curve = ridge * w, np.diag(ridge)
+        for z, t, u in blocks_of():
+            slack = 1 - t * (z @ w)
+            on = slack > 0
+            gradient = gradient - 2 * cost * z[on].T @ (u * t * slack)[on]
+            curve = curve + 2 * cost * (z[on] * u[on, None]).T @ z[on]
         if np.abs(gradient).max() < tolerance * max(1.0, cost * weight.sum()):
             return w[:-1], float(w[-1])
-        step = np.linalg.solve(np.diag(ridge) + 2 * cost * (z[on] * weight[on, None]).T @ z[on], gradient)
+        step = np.linalg.solve(curve, gradient)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-10:
             size /= 2
@@ -300,11 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmarks:
     # The bound on labelled rows: the smallest hashes of doc_id, the same choice at every run.
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    held = held.persist()
-    try:
-        return _fit(held, landmarks)
-    finally:
-        held.unpersist()
+    # Read three times; written once, since executors that hold it in memory can be lost.
+    return _fit(cut(held, "labelled"), landmarks)
 
 
 def _words(held: DataFrame) -> DataFrame:
@@ -351,15 +367,15 @@ def _fit(held: DataFrame, landmarks: int) -> Model | None:
             bare = np.setdiff1d(np.arange(len(ids)), row)
             all_x = np.vstack([x[keep], np.zeros((len(bare), x.shape[1]))])
             at = np.concatenate([row[keep], bare]).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at]), "toxic": pa.array(toxic[at].astype(np.int32)), "x": pa.array(list(all_x.astype(np.float32)), pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at]), "toxic": pa.array(toxic[at].astype(np.int32)), "x": pa.array([r.tobytes() for r in all_x.astype("<f4")], pa.binary())})
 
-    got = held.mapInArrow(features, "doc_id long, toxic int, x array<float>").toPandas()
-    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), len(marks.words))
+    got = held.mapInArrow(features, "doc_id long, toxic int, x binary").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype="<f4").reshape(got.num_rows, len(marks.words))
     doc = np.unique(got["doc_id"].to_numpy(), return_inverse=True)[1]
     toxic = got["toxic"].to_numpy() > 0
     values, vectors = np.linalg.eigh(landmark_matrix(marks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    phi = x @ root
+    phi = x @ root.astype(np.float32)
     n_docs = doc.max() + 1
     label = np.zeros(n_docs, dtype=bool)
     label[doc] = toxic
