@@ -50,3 +50,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
