@@ -57,3 +57,25 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (
+        SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+    ), d AS (
+        SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p
+    ), f AS (
+        SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url_key", "captured")
