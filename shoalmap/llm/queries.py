@@ -79,3 +79,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages")).drop("url_key", "captured")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.quality import quality_digest
+
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
