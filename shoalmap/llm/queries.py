@@ -86,3 +86,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.quality import quality_digest
 
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_language_model")
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.language_model import score_digest
+
+    return score_digest(table(spark, sf_dir, "documents"))

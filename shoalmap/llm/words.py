@@ -14,9 +14,11 @@ BLOCK_BYTES = 1 << 20
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """`bytes.split` cuts at exactly the bytes 0x20 and 0x09-0x0D."""
-    return text.encode().split() if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """`bytes.split` cuts at exactly the bytes 0x20 and 0x09-0x0D; `lower` changes A-Z only."""
+    if not text:
+        return []
+    return text.encode().lower().split() if lower else text.encode().split()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ class Block:
         return roll(which).ranges(self._prefix[which], self.starts[start], self.ends[start + size - 1])
 
 
-def blocks(texts: Iterable[str | None], size: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(texts: Iterable[str | None], size: int = BLOCK_BYTES, lower: bool = False) -> Iterator[Block]:
     """Whole texts in blocks of at most `size` bytes; a longer text is a block of its own."""
     rows, held, total = [], [], 0
     for row, text in enumerate(texts):
@@ -105,7 +107,7 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK_BYTES) -> Iterator[Blo
             yield Block(rows, held)
             rows, held, total = [], [], 0
         rows.append(row)
-        held.append(words_of(text))
+        held.append(words_of(text, lower))
         total += n
     if held:
         yield Block(rows, held)
