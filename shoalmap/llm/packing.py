@@ -19,7 +19,9 @@ are packed one by one. An empty table gives no rows. Very long texts become many
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -32,7 +34,7 @@ from shoalmap.session import cut
 
 SIZE = 2048
 END = 0
-CACHE = 500_000
+CACHE = 1_000_000
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 # Texts of these characters are cut by a simple pattern; others by the tokenizer's own, which is slower.
 _PLAIN = re.compile(rf"[ -~\n{_LETTER}\u00a1\u00bf\u2013\u2014\u2018-\u201f\u2026]*")
@@ -50,6 +52,27 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+class Kept(dict):
+    """Ids by part, found when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        if _WORD.fullmatch(part):
+            # One cut of the tokenizer's pattern: straight to the merges, on its letters for bytes.
+            merged = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            ids = [t.id for t in merged]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        self[part] = out.tobytes()
+        return self[part]
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer, with the ids of parts of texts kept.
 
@@ -62,31 +85,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(self.tokenizer)
 
-    def _parts(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if _PLAIN.fullmatch(text) and not _RISKY.search(text):
+    def _parts(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text) and not (("'" in text or "\n\n" in text or " \n" in text) and _RISKY.search(text)):
             return _PARTS.findall(text)
         return [text] if _ODD.search(text) else _OWN.findall(text)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self._parts(t) for t in texts]
         if len(self.kept) > CACHE:
-            self.kept = {}
-        kept, end = self.kept, END.to_bytes(4, "little")
-        longer = []
-        for p in set().union(*parts).difference(kept):
-            if _WORD.fullmatch(p):
-                # One cut of the tokenizer's pattern: straight to the merges, on its letters for bytes.
-                merged = self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(_BYTE_LETTERS))
-                kept[p] = b"".join([t.id.to_bytes(4, "little") for t in merged])
-            else:
-                longer.append(p)
-        for p, e in zip(longer, self.tokenizer.encode_batch_fast(longer, add_special_tokens=False), strict=True):
-            kept[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([kept[p] for p in own]) + end, dtype="<u4") for own in parts]
+            self.kept = Kept(self.tokenizer)
+        ids, end = self.kept.__getitem__, END.to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(ids, self._parts(t))) + end if t else end, dtype="<u4") for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -266,14 +276,17 @@ def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
         wide = sorted(((s, n) for (what, s), n in sizes.items() if what == TODO and s > widest), reverse=True)
         if wide:
             open_ = -(-sum(s * n for s, n in wide) // size)
-            chosen = F.lit(False)
+            full, chosen = [], F.lit(False)
             for s, n in wide:
-                # Of the last size only a share is needed, taken by a hash of uid.
-                part = F.lit(True) if n <= open_ else F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) <= (open_ << 20) // n
-                chosen = chosen | ((F.col("size") == s) & part)
-                open_ -= n
-                if open_ <= 0:
+                if n > open_:
+                    # Of the last size only a share is needed, taken by a hash of uid.
+                    chosen = (F.col("size") == s) & (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) <= (open_ << 20) // n)
                     break
+                full.append(s)
+                open_ -= n
+            if full:
+                # Sizes are taken from the largest down, so those taken whole are a range among the wide.
+                chosen = chosen | (F.col("size") >= min(full))
             chosen = (F.col("what") == TODO) & chosen
             if not widest and not state.filter(chosen).limit(1).count():
                 chosen = F.col("what") == TODO
