@@ -2,7 +2,7 @@
 
 Writing: every page becomes a record, `response` or, if an earlier page (smaller page_id) has the same
 payload of at least 100 bytes, `revisit` with a reference and no payload. Spark's text writer puts the
-records into archive files; the line separator is the two line ends that close a record.
+records into gzipped archive files; the line separator is the two line ends that close a record.
 
 Reading: each archive is parsed record by record. Its captures, sorted by URL key and timestamp, are a
 run. The index is cut into ranges of (URL key, timestamp, page_id), so that one busy URL can fill several
@@ -17,6 +17,7 @@ and a payload are told apart by a row number, so each has its record.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from urllib.parse import urlsplit
 
@@ -75,7 +76,7 @@ def capture_time(page_id: Column) -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the records of (page_id, url, html) below `path`, a new folder all executors share."""
     rows = with_types(pages)
-    rows.select(record(capture_time(F.col("page_id"))).alias("value")).write.option("lineSep", CLOSE).text(path)
+    rows.select(record(capture_time(F.col("page_id"))).alias("value")).write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -127,7 +128,7 @@ def _runs(batches):
     """A sorted run per archive."""
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows = sorted(parse(content.as_py(), path.rpartition("/")[2]), key=_order)
+            rows = sorted(parse(gzip.decompress(content.as_py()), path.rpartition("/")[2]), key=_order)
             for k in range(0, len(rows), 10_000):
                 yield _batch(rows[k : k + 10_000])
 
