@@ -93,3 +93,10 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.language_model import score_digest
 
     return score_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_spotsigs")
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.spotsigs import edited_digest
+
+    return edited_digest(table(spark, sf_dir, "documents"))
