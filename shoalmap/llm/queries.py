@@ -100,3 +100,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.spotsigs import edited_digest
 
     return edited_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.licenses import document_files, scan
+
+    out = scan(document_files(spark, table(spark, sf_dir, "documents")))
+    return out.select("rest.*", "license", "cosine", "origin", "from_directory")
