@@ -38,7 +38,9 @@ class LogShift:
     """Log transforms of a target. `low` is the fitted minimum, a literal or a column.
 
     kinds: `log` log(x - low + 1); `log1p` the same shift only for a negative minimum, values below it clipped;
-    `signed` sign(x) * log1p(|x|); `exp` / `plain` are exp and natural log.
+    `signed` sign(x) * log(|x|), which does not say the sign of its argument: its inverse is exp(x);
+    `signed1p` sign(x) * log1p(|x|), which can be inverted; `exp` / `plain` are exp and natural log. The
+    inverse of `exp` is 0 for numbers that have no logarithm.
     """
 
     kind: str = "log"
@@ -59,6 +61,9 @@ class LogShift:
             low = F.least(self._low(), F.lit(0.0))
             return _finite(F.log1p(F.greatest(c, low) - low))
         if self.kind == "signed":
+            # Zero has no logarithm; a missing value stays missing.
+            return F.when(c == 0, F.lit(NOT_FINITE)).otherwise(_finite(F.signum(c) * F.ln(F.abs(c))))
+        if self.kind == "signed1p":
             return _finite(F.signum(c) * F.log1p(F.abs(c)))
         if self.kind == "exp":
             return _finite(F.exp(c))
@@ -69,10 +74,10 @@ class LogShift:
             return _finite(F.exp(c) + self._low() - 1)
         if self.kind == "log1p":
             return _finite(F.expm1(c) + F.least(self._low(), F.lit(0.0)))
-        if self.kind == "signed":
+        if self.kind == "signed1p":
             return _finite(F.signum(c) * F.expm1(F.abs(c)))
         if self.kind == "exp":
-            return _finite(F.ln(c))
+            return F.when(c <= 0, F.lit(0.0)).otherwise(_finite(F.ln(c)))
         return _finite(F.exp(c))
 
 

@@ -148,15 +148,15 @@ def richness(truth: DataFrame, level: int = 12) -> DataFrame:
 
 def confusion_by_huc(pred: DataFrame, level: int = 12) -> DataFrame:
     """Mean true/false positive/negative rates: per row over repeats and splits, then per HUC."""
-    gap = F.avg(F.col("y") - F.col("yhat")).alias("gap")
-    row = pred.groupBy(*ROW, "y").agg(gap)
+    gap = F.col("y") - F.col("yhat")
+    row = pred.groupBy(*ROW, "y").agg(F.avg(gap).alias("gap"), F.avg(F.abs(gap)).alias("size"))
     pos, neg = F.col("y") == 1, F.col("y") == 0
     unit = huc_prefix(F.col("huc12"), level).alias(f"huc{level}")
     return row.groupBy(unit).agg(
         F.avg(F.when(pos, 1 - F.col("gap"))).alias("tp"),
-        F.avg(F.when(neg, F.abs("gap"))).alias("fp"),
+        F.avg(F.when(neg, F.col("size"))).alias("fp"),
         F.avg(F.when(pos, F.col("gap"))).alias("fn"),
-        F.avg(F.when(neg, 1 - F.abs("gap"))).alias("tn"),
+        F.avg(F.when(neg, 1 - F.col("size"))).alias("tn"),
     )
 
 

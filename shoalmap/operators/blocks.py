@@ -19,9 +19,9 @@ BLOCK_ROWS = 4096
 def _cut(df: DataFrame, keys: list[str], ids: list[str], rows: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their block number, and the number of blocks of keys that need more than one.
 
-    At most count / rows keys need more than one block, which bounds the broadcast table.
+    At most count / rows keys need more than one block; the engine broadcasts their table if it is small.
     """
-    big = F.broadcast(
+    big = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows)

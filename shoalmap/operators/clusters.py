@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +19,14 @@ MIN_POINTS = 5
 
 
 def coef_vectors(species_coef: DataFrame, names: list[str]) -> DataFrame:
-    """(species, features) with a place per variable, standardised over species."""
+    """(species, features) with a place per variable, standardised over species by the population
+    deviation; a constant variable is 0."""
     cells = [F.coalesce(F.max(F.when(F.col("var") == n, F.col("coef"))), F.lit(0.0)) for n in names]
-    wide = species_coef.groupBy("species").agg(array_to_vector(F.array(*cells)).alias("raw"))
-    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(wide).transform(wide).drop("raw")
+    wide = species_coef.groupBy("species").agg(F.array(*cells).alias("raw"))
+    sizes = [f(F.col("raw")[i]) for i in range(len(names)) for f in (F.avg, F.stddev_pop)]
+    stats = wide.agg(*[c.alias(f"s{i}") for i, c in enumerate(sizes)]).first()
+    scaled = [(F.col("raw")[i] - F.lit(stats[2 * i] or 0.0)) / F.lit(stats[2 * i + 1] or 1.0) for i in range(len(names))]
+    return wide.select("species", array_to_vector(F.array(*scaled)).alias("features"))
 
 
 def cluster_species(vectors: DataFrame, method: str = "kmeans", k: int = 2, seed: int = 0) -> DataFrame:

@@ -139,4 +139,5 @@ def select_sparse(df: DataFrame, names: list[str], y: str, max_k: int, reg: floa
     std = df.agg(*[F.stddev_samp(n).alias(n) for n in names]).first()
     sizes = sorted(((abs(c) * (std[n] or 0.0), n) for c, n in zip(fit.coefficients, names)), reverse=True)
     chosen = {n for size, n in sizes[:max_k] if size > SPARSE_MIN}
-    return [n for n in names if n in chosen]
+    # With nothing selected the first feature stays, so that a model always has one.
+    return [n for n in names if n in chosen] or names[:1]

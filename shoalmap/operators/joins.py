@@ -191,6 +191,8 @@ def partial_match(runs: DataFrame, targets: DataFrame, target_id: str, fields: l
 
     Each level only tries the targets that no earlier level matched.
     """
+    if not set(fields) - set(relax):
+        raise ValueError("at least one field must always match")
     parts, open_targets = [], targets.select(target_id, *fields)
     for level in range(len(relax) + 1):
         on = [f for f in fields if f not in relax[:level]]

@@ -123,9 +123,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], split_by: list
     """Inner equi-join in which a key with more than `rows` left rows is cut into several keys.
 
     Left rows of a hot key spread by a hash of `split_by`; the right rows of that key are repeated
-    once per cut. At most count(left) / rows keys can be hot, which bounds the broadcast table.
+    once per cut. At most count(left) / rows keys can be hot; the engine broadcasts their table if it is small.
     """
-    hot = F.broadcast(
+    hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows)

@@ -163,9 +163,9 @@ def _(v):
 @query(
     "d12_confusion_by_huc",
     "pred",
-    f"""WITH r AS (SELECT species, estimator, huc12, comid, y, avg(y - yhat) AS g FROM pred GROUP BY ALL)
-       SELECT substr(huc12, 1, 8) AS huc8, {R("avg(CASE WHEN y = 1 THEN 1 - g END)", "tp")}, {R("avg(CASE WHEN y = 0 THEN abs(g) END)", "fp")},
-       {R("avg(CASE WHEN y = 1 THEN g END)", "fn")}, {R("avg(CASE WHEN y = 0 THEN 1 - abs(g) END)", "tn")} FROM r GROUP BY 1""",
+    f"""WITH r AS (SELECT species, estimator, huc12, comid, y, avg(y - yhat) AS g, avg(abs(y - yhat)) AS s FROM pred GROUP BY ALL)
+       SELECT substr(huc12, 1, 8) AS huc8, {R("avg(CASE WHEN y = 1 THEN 1 - g END)", "tp")}, {R("avg(CASE WHEN y = 0 THEN s END)", "fp")},
+       {R("avg(CASE WHEN y = 1 THEN g END)", "fn")}, {R("avg(CASE WHEN y = 0 THEN 1 - s END)", "tn")} FROM r GROUP BY 1""",
 )
 def _(v):
     return ag.confusion_by_huc(v.pred, 8).select("huc8", *[r6(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
@@ -559,12 +559,12 @@ def _(v):
     return out.select(*[r6(c).alias(c) for c in ("f1_micro", "precision_micro", "recall_micro", "roc_auc_micro")])
 
 
-SCORED = "scored AS (SELECT *, coalesce(ln(loss / naiveloss + 1) / pow(ln(batch_n * batch_n * batchcount), 1.5), 1e301) AS s FROM model_runs WHERE loss > 0)"
+SCORED = "scored AS (SELECT *, coalesce(ln(loss / naiveloss + 1) / pow(ln(batch_n * batch_n * batchcount), 1.5), 1e301) AS s FROM model_runs)"
 
 
 @query("d40_run_score", "model_runs", f"WITH {SCORED} SELECT run_seq, {R('s', 'run_score')} FROM scored")
 def _(v):
-    return rn.with_run_score(v.model_runs.filter(C("loss") > 0)).select("run_seq", r6("run_score").alias("run_score"))
+    return rn.with_run_score(v.model_runs).select("run_seq", r6("run_score").alias("run_score"))
 
 
 @query(
@@ -574,18 +574,18 @@ def _(v):
        SELECT species, config_id, batchcount, run_seq, loss FROM k WHERE k = 1 AND loss < naiveloss""",
 )
 def _(v):
-    kept = rn.condense_runs(v.model_runs.filter(C("loss") > 0), ["species", "config_id", "batchcount"], "naiveloss")
+    kept = rn.condense_runs(v.model_runs, ["species", "config_id", "batchcount"], "naiveloss")
     return kept.select("species", "config_id", "batchcount", "run_seq", "loss")
 
 
 @query(
     "d42_merge_listdicts",
     "model_runs score",
-    "SELECT species, run_seq AS value, 0 AS source FROM model_runs UNION ALL SELECT species, fold, 1 FROM score WHERE scorer_id = 2",
+    "SELECT species, run_seq AS value, 0 AS source FROM model_runs UNION ALL SELECT species, fold, 1 FROM score",
 )
 def _(v):
     a = v.model_runs.select("species", C("run_seq").alias("value"))
-    b = v.score.filter(C("scorer_id") == 2).select("species", C("fold").alias("value"))
+    b = v.score.select("species", C("fold").alias("value"))
     return ag.merge_listdicts([a, b], "species", "value")
 
 

@@ -36,12 +36,10 @@ def _(v):
     "c03_range_unmatched",
     "survey species_range",
     """SELECT DISTINCT 'huc8' AS kind, huc8 AS name FROM species_range WHERE huc8 NOT IN (SELECT huc8 FROM survey)
-       UNION ALL SELECT DISTINCT 'species', species FROM species_range WHERE species NOT IN (SELECT species FROM survey WHERE huc8 < '03')""",
+       UNION ALL SELECT DISTINCT 'species', species FROM species_range WHERE species NOT IN (SELECT species FROM survey)""",
 )
 def _(v):
-    hucs, _species = joins.range_unmatched(v.species_range, v.survey)
-    # Every range species is in the whole survey, so the species side looks at two regions.
-    _, species = joins.range_unmatched(v.species_range, v.survey.filter(C("huc8") < "03"))
+    hucs, species = joins.range_unmatched(v.species_range, v.survey)
     return hucs.select(F.lit("huc8").alias("kind"), C("huc8").alias("name")).union(species.select(F.lit("species"), "species"))
 
 
@@ -60,13 +58,13 @@ def _(v):
 @query(
     "c05_with_metrics",
     "survey metric_raw",
-    """WITH m AS (SELECT DISTINCT comid FROM metric_raw WHERE row_id % 5 = 0)
+    """WITH m AS (SELECT DISTINCT comid FROM metric_raw)
        SELECT species, comid, 'kept' AS part FROM (SELECT DISTINCT species, comid FROM survey) WHERE comid IN (SELECT comid FROM m)
        UNION ALL SELECT NULL, comid, 'dropped' FROM (SELECT DISTINCT comid FROM survey) WHERE comid NOT IN (SELECT comid FROM m)""",
 )
 def _(v):
     pairs = v.survey.select("species", "comid").distinct()
-    kept, dropped = joins.with_metrics(pairs, v.metric_raw.filter(C("row_id") % 5 == 0))
+    kept, dropped = joins.with_metrics(pairs, v.metric_raw)
     return kept.withColumn("part", F.lit("kept")).unionByName(dropped.withColumn("part", F.lit("dropped")), allowMissingColumns=True)
 
 

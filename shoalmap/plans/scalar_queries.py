@@ -194,7 +194,7 @@ def _(v):
 def _(v):
     x = C("x")
     df = v.features.filter(x.isNotNull())
-    log, signed = numeric.LogShift.fit(df, "x", "log"), numeric.LogShift("signed")
+    log, signed = numeric.LogShift.fit(df, "x", "log"), numeric.LogShift("signed1p")
     log1p = numeric.LogShift.fit(df.select((x - 5).alias("x")), "x", "log1p")
     return df.select(
         "comid",
@@ -224,14 +224,15 @@ def _(v):
 @query(
     "b17_scale_distance",
     "features",
-    f"""WITH p AS (SELECT comid, abs(x - 5) AS d FROM features WHERE var = 'ElevCat' AND x IS NOT NULL)
-       SELECT comid, {R("d / 4", "divide")}, {R("ln(d + 1)", "ln1")}, {R("d / (SELECT max(d) FROM p)", "norm1")} FROM p""",
+    f"""WITH p AS (SELECT comid, var, abs(x - 5) AS d FROM features WHERE x IS NOT NULL)
+       SELECT comid, var, {R("d / 4", "divide")}, {R("ln(d + 1)", "ln1")}, {R("d / (SELECT max(d) FROM p)", "norm1")} FROM p""",
 )
 def _(v):
-    df = v.features.filter((C("var") == "ElevCat") & C("x").isNotNull()).select("comid", F.abs(C("x") - 5).alias("d"))
+    df = v.features.filter(C("x").isNotNull()).select("comid", "var", F.abs(C("x") - 5).alias("d"))
     top = df.agg(F.max("d")).scalar()
     return df.select(
         "comid",
+        "var",
         r6(numeric.scale_distance(C("d"), "divide", 4)).alias("divide"),
         r6(numeric.scale_distance(C("d"), "ln1")).alias("ln1"),
         r6(numeric.scale_distance(C("d"), "norm1", top)).alias("norm1"),

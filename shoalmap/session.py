@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", name: str = "shoalmap", shuffle: int = 8) -> SparkSession:
@@ -28,21 +28,22 @@ def local_session(cpus: int | str = "*", name: str = "shoalmap", shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the session names it.
+    """Folder of this session that every executor can reach.
 
-    Only a local session without the setting gets a folder of its own; on a cluster a missing
-    setting is an error, because a machine-local folder is lost with its executor.
+    It is below the folder in `spark.checkpoint.dir`, or below the warehouse where that is unset. Spark
+    deletes it, with all tables written by `cut`, when the application ends.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shoalmap-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        named = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        folder = f"{named.rstrip('/')}/shoalmap-{uuid.uuid4().hex}"
+        at, fs = _folder(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(folder)
+        _FOLDERS[context.applicationId] = folder
+    return _FOLDERS[context.applicationId]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

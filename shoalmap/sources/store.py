@@ -81,9 +81,9 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], policy: str =
     raise ValueError(policy)
 
 
-def latest_update(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the last by `order`."""
-    best = F.max(F.struct(order, *[c for c in updates.columns if c not in keys and c != order])).alias("_r")
+def latest_update(updates: DataFrame, keys: list[str], order: str, first: bool = False) -> DataFrame:
+    """One row per key, the last by `order`, or the first."""
+    best = (F.min if first else F.max)(F.struct(order, *[c for c in updates.columns if c not in keys and c != order])).alias("_r")
     return updates.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in updates.columns])
 
 

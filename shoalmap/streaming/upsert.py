@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from shoalmap.session import path_exists
+from shoalmap.session import list_names, path_exists
 from shoalmap.sources.store import latest_update, upsert
 
 
@@ -22,10 +22,10 @@ def read_version(spark: SparkSession, path: str, version: int) -> DataFrame | No
 def stream_upsert(
     updates: DataFrame, path: str, keys: list[str], order: str, policy: str, checkpoint: str
 ) -> StreamingQuery:
-    """Upsert every micro-batch; within a batch the last row per key counts."""
+    """Upsert every micro-batch; within a batch the last row per key counts, with `gen` the first."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        once = latest_update(batch, keys, order)
+        once = latest_update(batch, keys, order, first=policy == "gen")
         before = read_version(batch.sparkSession, path, number)
         after = once if before is None else upsert(before, once, keys, policy)
         after.write.mode("overwrite").parquet(f"{path}/v={number + 1:09d}")
@@ -39,5 +39,6 @@ def stream_upsert(
 
 
 def newest(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The table after the query's last finished batch."""
-    return read_version(spark, path, query.lastProgress["batchId"] + 1)
+    """The newest finished version of the table; a query that had nothing to do changes nothing."""
+    done = [n for n in list_names(spark, path) if path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return spark.read.parquet(f"{path}/{max(done)}")
