@@ -176,8 +176,16 @@ def fit(docs: DataFrame, classes_own: int = OWN, kept: int = KEPT) -> Model:
     """Learn from all texts of (text)."""
     counts = cut(token_counts(docs), "tokens")
     totals = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    # Bounded by `kept`, whatever the corpus.
-    top = counts.orderBy(F.desc("c"), "h").limit(kept).toArrow()
+    # The most frequent tokens, at most `kept`: those above the first step of the counts' own scale at
+    # which they fit, so that no task has to sort them all.
+    step = F.floor(F.log2("c") * 64).cast("int")
+    fits, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        fits += r["count"]
+        if fits > kept:
+            break
+        lowest = r["step"]
+    top = counts.filter(step >= lowest if lowest is not None else F.lit(False)).toArrow()
     h, c, bucket = (top[x].to_numpy() for x in ("h", "c", "bucket"))
     order = np.lexsort((h, -c))
     h, c, bucket = h[order].view(np.uint64), c[order], bucket[order]
