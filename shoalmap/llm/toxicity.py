@@ -317,7 +317,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmarks:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.filter(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The bound on labelled rows: the smallest hashes of doc_id, the same choice at every run.
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    n = marks.count()
+    if n > max_docs:
+        # Few more than are wanted reach the last sort.
+        marks = marks.filter(place <= int((1 << 40) * min(1.0, 1.1 * max_docs / n)))
+    marks = marks.orderBy(place, "doc_id").limit(max_docs)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
     # Read three times; written once, since executors that hold it in memory can be lost.
     return _fit(cut(held, "labelled"), landmarks)
