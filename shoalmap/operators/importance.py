@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from shoalmap.functions.numeric import diff_score
 from shoalmap.operators.aggregates import FOLD, ROW, ratio_to
+from shoalmap.session import cut
 
 SCORE_PREFIX = "scorer:"
 MODEL = ["species", "estimator"]
@@ -63,6 +64,16 @@ def make_weight(pred: DataFrame, score: DataFrame, kind: str = "fitscor_diffscor
     return pred.select(*ROW, *FOLD, "y", wt.alias("wt"))
 
 
+def make_weights(pred: DataFrame, score: DataFrame, kinds: dict[str, str], legacy: bool = False) -> DataFrame:
+    """Several kinds of `make_weight` as columns (name: kind) of one pass over the predictions."""
+    fold_score = score.select(*MODEL, *FOLD, F.col("value").alias("_score"))
+    joined = pred.join(fold_score, [*MODEL, *FOLD])
+    close = diff_score(F.col("y"), F.col("yhat"), legacy)
+    one = F.lit(1.0)
+    columns = [((F.col("_score") if "fit" in kind else one) * (close if "diff" in kind else one)).alias(name) for name, kind in kinds.items()]
+    return joined.select(*ROW, *FOLD, "y", *columns)
+
+
 def cvnorm(wt: DataFrame, fold: list[str] = FOLD) -> DataFrame:
     """Weights of one row sum to 1 over its folds; a row has at most repeats * splits folds."""
     return wt.withColumn("wt", F.col("wt") / F.sum("wt").over(Window.partitionBy(*ROW)))
@@ -164,11 +175,20 @@ def feature_importance(
 def location_weights(score: DataFrame, pred: DataFrame, norm: str = "comid") -> DataFrame:
     """Mean score of the model times (1 - mean absolute error of the row), as a share of its
     catchment or HUC12."""
+    return location_shares(score, pred, ["comid" if norm == "comid" else "huc12"]).withColumnRenamed("by_0", "wt")
+
+
+def location_shares(score: DataFrame, pred: DataFrame, scopes: list[str]) -> DataFrame:
+    """`location_weights` for several scopes: by_0, by_1, ... The rows are aggregated and written once;
+    each scope adds a total and a join."""
     model_score = score.groupBy(*MODEL).agg(F.avg("value").alias("_score"))
     err = pred.groupBy(*ROW).agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("_err"))
-    wt = err.join(model_score, MODEL).select(*ROW, (F.col("_score") * (1 - F.col("_err"))).alias("wt"))
-    scope = ["comid"] if norm == "comid" else ["huc12"]
-    return ratio_to(wt, "wt", scope, "wt")
+    rows = cut(err.join(model_score, MODEL).select(*ROW, (F.col("_score") * (1 - F.col("_err"))).alias("_wt")), "weights")
+    out = rows
+    for i, scope in enumerate(scopes):
+        total = rows.groupBy(scope).agg(F.sum("_wt").alias("_total"))
+        out = out.join(total, scope).withColumn(f"by_{i}", F.col("_wt") / F.col("_total")).drop("_total")
+    return out.select(*ROW, *[f"by_{i}" for i in range(len(scopes))])
 
 
 def rank_by_abs_mean(coef: DataFrame) -> DataFrame:

@@ -339,13 +339,9 @@ def one_scorer(v):
     digest=("species estimator rep_idx", "wt fit diff"),
 )
 def _(v):
-    keys = [*ag.ROW, *ag.FOLD]
     kinds = {"wt": "fitscor_diffscor", "fit": "fitscor", "diff": "diffscor", "one": "none"}
-    out = None
-    for name, kind in kinds.items():
-        one = im.make_weight(v.pred, one_scorer(v), kind).select(*keys, (C("wt") if name == "one" else r6("wt")).alias(name))
-        out = one if out is None else out.join(one, keys)
-    return out
+    out = im.make_weights(v.pred, one_scorer(v), kinds)
+    return out.select(*ag.ROW, *ag.FOLD, *[r6(k).alias(k) for k in ("wt", "fit", "diff")], "one")
 
 
 @query("d29_cvnorm", "pred fit_score", f"WITH {NORM} SELECT species, estimator, huc12, comid, rep_idx, split_idx, {R('nwt', 'wt')} FROM nw", digest=("species estimator rep_idx", "wt"))
@@ -468,9 +464,8 @@ def _(v):
        SELECT species, estimator, huc12, comid, {R("wt / sum(wt) OVER (PARTITION BY comid)", "by_comid")}, {R("wt / sum(wt) OVER (PARTITION BY huc12)", "by_huc12")} FROM w""",
 )
 def _(v):
-    a = im.location_weights(one_scorer(v), v.pred).select(*ag.ROW, r6("wt").alias("by_comid"))
-    b = im.location_weights(one_scorer(v), v.pred, "huc12").select(*ag.ROW, r6("wt").alias("by_huc12"))
-    return a.join(b, ag.ROW)
+    out = im.location_shares(one_scorer(v), v.pred, ["comid", "huc12"])
+    return out.select(*ag.ROW, r6("by_0").alias("by_comid"), r6("by_1").alias("by_huc12"))
 
 
 @query(
