@@ -22,7 +22,6 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from shoalmap.session import cut
 
 SIZE = 2048
 END = 0
-CACHE = 1_000_000
+CACHE = 400_000
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 # Texts of these characters are cut by a simple pattern; others by the tokenizer's own, which is slower.
 _PLAIN = re.compile(rf"[ -~\n{_LETTER}\u00a1\u00bf\u2013\u2014\u2018-\u201f\u2026]*")
@@ -49,21 +48,20 @@ _ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 # Byte-level BPE writes a byte as a letter: printable ones as themselves, the others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Kept(dict):
     """Ids by part, found when first asked for."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, merges):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merges = tokenizer, merges
 
     def __missing__(self, part: str) -> bytes:
         if _WORD.fullmatch(part):
-            # One cut of the tokenizer's pattern: straight to the merges, on its letters for bytes.
-            merged = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))
-            ids = [t.id for t in merged]
+            # One cut of the tokenizer's pattern: straight to the merges.
+            ids = self.merges.encode_ordinary(part)
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         out = array("I", ids)
@@ -81,11 +79,17 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept = Kept(self.tokenizer)
+        # The tokenizer's merges, by the order of its ids, in an engine that is quicker on single words.
+        letters = {chr(letter): byte for byte, letter in _BYTE_LETTERS.items()}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.merges = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.kept = Kept(self.tokenizer, self.merges)
 
     def _parts(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text) and not (("'" in text or "\n\n" in text or " \n" in text) and _RISKY.search(text)):
@@ -94,7 +98,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.kept) > CACHE:
-            self.kept = Kept(self.tokenizer)
+            self.kept = Kept(self.tokenizer, self.merges)
         ids, end = self.kept.__getitem__, END.to_bytes(4, "little")
         return [np.frombuffer(b"".join(map(ids, self._parts(t))) + end if t else end, dtype="<u4") for t in texts]
 
@@ -134,30 +138,29 @@ def sweep(sizes: np.ndarray, is_gap: np.ndarray, low: int) -> tuple[list[tuple[i
     left with their sizes, smallest last. A gap that stays at least `low`, the smallest size of the
     range, takes part again with what it has left.
     """
-    match, bare, waiting, names = [], [], [], []
-    # Gaps seen, kept in order of size: `waiting` holds negated sizes so that the last is the smallest.
+    match, bare = [], []
+    # Gaps seen, by size; a bit per size in use finds the smallest that fits.
+    held: dict[int, list[int]] = {}
+    used = 0
     for i, (size, gap) in enumerate(zip(sizes.tolist(), is_gap.tolist(), strict=True)):
         if gap:
-            at = bisect_left(waiting, -size)
-            while at < len(waiting) and waiting[at] == -size:
-                at += 1
-            waiting.insert(at, -size)
-            names.insert(at, i)
+            held.setdefault(size, []).append(i)
+            used |= 1 << size
             continue
-        at = len(waiting)
-        while at and -waiting[at - 1] < size:
-            at -= 1
-        if not at:
+        fits = used >> size
+        if not fits:
             bare.append(i)
             continue
-        left, name = -waiting.pop(at - 1), names.pop(at - 1)
+        left = size + (fits & -fits).bit_length() - 1
+        name = held[left].pop()
+        if not held[left]:
+            used &= ~(1 << left)
         match.append((i, name, left))
         left -= size
         if left >= low:
-            at = bisect_left(waiting, -left)
-            waiting.insert(at, -left)
-            names.insert(at, name)
-    return match, bare, [(n, -w) for n, w in zip(names, waiting, strict=True)]
+            held.setdefault(left, []).append(name)
+            used |= 1 << left
+    return match, bare, [(n, size) for size in sorted(held, reverse=True) for n in held[size]]
 
 
 def _swept(table: DataFrame) -> DataFrame:
