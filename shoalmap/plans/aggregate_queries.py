@@ -91,11 +91,15 @@ def _(v):
     return ag.collapse_years(years).withColumn("value", r6(F.nanvl("value", F.lit(None).cast("double"))))
 
 
+# All metrics of the test table: five priorities, seven years.
+METRICS = [f"Pct{k}{year}Cat" for k in range(1, 6) for year in range(1995, 2002)]
+
+
 @query(
     "d07_widen",
     "metric_raw",
-    f"""SELECT comid, max(CASE WHEN metric = 'Pct11995Cat' THEN v END) AS "Pct11995Cat", max(CASE WHEN metric = 'Pct31996Cat' THEN v END) AS "Pct31996Cat",
-       max(CASE WHEN metric = 'Pct51997Cat' THEN v END) AS "Pct51997Cat" FROM (SELECT comid, metric, CASE WHEN isnan(p) THEN NULL ELSE p END AS v FROM
+    f"""SELECT comid, {", ".join(f"max(CASE WHEN metric = '{k}' THEN v END) AS {k}" for k in METRICS)}
+       FROM (SELECT comid, metric, CASE WHEN isnan(p) THEN NULL ELSE p END AS v FROM
        (SELECT comid, metric, {PARSED} AS p FROM metric_raw)) GROUP BY comid""",
 )
 def _(v):
@@ -103,9 +107,8 @@ def _(v):
 
     null = F.lit(None).cast("double")
     long = v.metric_raw.withColumn("value", F.nanvl(parse_metric(C("value")), null))
-    keys = ["Pct11995Cat", "Pct31996Cat", "Pct51997Cat"]
-    wide = ag.widen(long, keys, col="metric")
-    return wide.select("comid", *[F.nanvl(C(k), null).alias(k) for k in keys])
+    wide = ag.widen(long, METRICS, col="metric")
+    return wide.select("comid", *[F.nanvl(C(k), null).alias(k) for k in METRICS])
 
 
 def species_x(v):
