@@ -61,7 +61,7 @@ def with_signatures(df: DataFrame, text: str = "text", out: str = "signatures",
         first = F.when(none, i + 1).otherwise(i - j)
         return F.xxhash64(F.get("_words", i), *[F.get("_chained", first + k) for k in range(chain)])
 
-    made = F.array_sort(F.array_distinct(F.transform("_places", signature)))
+    made = F.sort_array(F.array_distinct(F.transform("_places", signature)))
     lone = F.array(F.xxhash64(F.lit("no words"), plain))
     return df.withColumn(out, F.when(F.size("_words") == 0, lone).otherwise(made)).drop("_words", "_anchors", "_others", "_places", "_chained")
 
@@ -103,7 +103,8 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next, the text of the next document in descending order of doc_id.
+    """doc_id, text, signatures and next, the (text, signatures) of the next document in descending order
+    of doc_id.
 
     After the last comes the first. Ids are cut into ranges by a range partitioning of the ids alone; a
     window then works inside each range, and the last document of a range takes the first of the range
@@ -117,14 +118,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     low = F.array(*[F.lit(x).cast("long") for x in floors])
     part = F.when(F.col("doc_id").isNull(), len(floors)).otherwise(F.size(F.filter(low, lambda x: x > F.col("doc_id")))) if floors else F.lit(0)
     rows = rows.withColumn("part", part.cast("int"))
-    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
-    linked = rows.withColumn("next", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     # Only documents with the largest id of a range can be its first.
-    first = rows.select("doc_id", "text", "part").filter(F.col("doc_id").isNull() | F.col("doc_id").isin([r["high"] for r in ranges]))
-    first = first.groupBy("part").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(-(2**63) + 1)), "text")).alias("head"))
+    first = rows.filter(F.col("doc_id").isNull() | F.col("doc_id").isin([r["high"] for r in ranges]))
+    first = first.groupBy("part").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(-(2**63) + 1)), "text")).alias("text"))
+    pair = F.struct("text", "signatures")
     heads = Window.orderBy("part")
-    first = first.select(F.col("part"), F.coalesce(F.lead("head").over(heads), F.first("head").over(heads)).alias("after"))
-    return linked.join(first, "part").select("doc_id", "text", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("next"))
+    first = with_signatures(first).select("part", pair.alias("head"))
+    first = first.select("part", F.coalesce(F.lead("head").over(heads), F.first("head").over(heads)).alias("after"))
+    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
+    linked = with_signatures(rows).withColumn("next", F.lead(pair).over(order))
+    return linked.join(first, "part").select("doc_id", "text", "signatures", F.coalesce("next", "after").alias("next"))
 
 
 def edited_digest(docs: DataFrame) -> DataFrame:
@@ -132,10 +135,9 @@ def edited_digest(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     df = with_next(docs).withColumn("n_chars", n.cast("long"))
-    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next"), F.lit(1), third)))
-    for name in ("text", "edited", "next"):
-        df = with_signatures(df, name, f"{name}_signatures")
-    own, edited, after = (F.col(f"{x}_signatures") for x in ("text", "edited", "next"))
+    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third)))
+    df = with_signatures(df, "edited", "edited_signatures")
+    own, edited, after = F.col("signatures"), F.col("edited_signatures"), F.col("next.signatures")
     return df.select(
         "doc_id",
         "n_chars",
