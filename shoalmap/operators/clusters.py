@@ -66,12 +66,13 @@ def _near(eps: float):
     return part
 
 
-def dbscan(vectors: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, rounds: int = 50) -> DataFrame:
+def dbscan(vectors: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS) -> DataFrame:
     """Density clusters under the L1 distance.
 
     Neighbours are only counted and reduced to the smallest label, block by block; no pair is
-    emitted. Labels spread among core points until none changes, each round written once. Clusters
-    are numbered by their smallest species.
+    emitted. Labels spread among core points until none changes, each round written once. A label names
+    a point, and every round takes over that point's own label as well, so rounds grow with the log of
+    the longest chain. Clusters are numbered by their smallest species.
     """
     points = vectors.select("species", vector_to_array("features").alias("xs"))
     schema = "species string, near long, low string"
@@ -86,17 +87,16 @@ def dbscan(vectors: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, r
         counts.select("species", (F.col("near") >= min_points).alias("core")), "species"
     ))
     labels = core.withColumn("label", F.when(F.col("core"), F.col("species")))
-    for _ in range(rounds):
+    while True:
         step = reach(labels)
         after = cut(labels.join(step.select("species", "low"), "species").withColumn(
             "new", F.when(F.col("core"), F.least("label", "low"))
         ))
         changed = after.filter(F.col("new") != F.col("label")).limit(1).count()
-        labels = after.select("species", "xs", "core", F.col("new").alias("label"))
+        jump = after.select(F.col("species").alias("new"), F.col("new").alias("up"))
+        labels = cut(after.join(jump, "new", "left").select("species", "xs", "core", F.coalesce("up", "new").alias("label")))
         if not changed:
             break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
     final = reach(labels).select("species", "low")
     names = final.filter(F.col("low").isNotNull()).select("low").distinct()
     numbered = running(names, [], ["low"], at=("row", None))
