@@ -33,7 +33,7 @@ from shoalmap.session import cut
 
 SIZE = 2048
 END = 0
-CACHE = 400_000
+CACHE = 150_000
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 # Texts of these characters are cut by a simple pattern; others by the tokenizer's own, which is slower.
 _PLAIN = re.compile(rf"[ -~\n{_LETTER}\u00a1\u00bf\u2013\u2014\u2018-\u201f\u2026]*")
