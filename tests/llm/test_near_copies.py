@@ -1,0 +1,58 @@
+import random
+
+import corpus_pipeline
+from shoalmap.llm.simhash import near_duplicates
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute(docs):
+    """doc_ids that stay: the smallest of each class of pairs at 0.8."""
+    sets = [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    least = {}
+    for (d, _), c in zip(docs, label, strict=True):
+        least[c] = min(d, least.get(c, d))
+    return sorted(least.values())
+
+
+def stays(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    return sorted(r.doc_id for r in out.collect())
+
+
+def test_stage_against_brute_force_jaccard(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [[word() for _ in range(rng.randrange(30, 300))] for _ in range(12)]
+    docs = []
+    for k in range(150):
+        words = list(base[k % 12])
+        # Up to about 0.7 of the shingles stay: pairs on both sides of the threshold, and chains.
+        for _ in range(rng.randrange(1 + len(words) // 25)):
+            words[rng.randrange(len(words))] = word()
+        docs.append((1000 - k, " ".join(words) if k % 3 else "\n".join(words).upper()))
+    docs += [(1, None), (2, ""), (3, " \n"), (4, "two words"), (5, "Two  words"), (6, "two words more")]
+    want = brute(docs)
+    assert stays(spark, docs) == want
+    # Three bits of a fingerprint do not reach 0.8.
+    linked = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert len(want) < linked.select("component_id").distinct().count()
+
+
+def test_stage_on_given_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert stays(spark, docs) == brute(docs)
