@@ -6,13 +6,17 @@ one. Windows of five of these tokens, at least three of them words, are the temp
 windows are kept if the benchmark has them and hash-joined to the benchmark's windows. An item is in a
 document if at least 0.8 of its windows are, and the slots agree: one value of the item stands for one
 value of the document. So exact and near copies are found, and questions with other numbers and names.
-The test is made for each place (offset between document and item) and for all places together.
+The test is made for each place (offset between document and item) and for all places together. In a
+sentence with more than `CAPITALS` of its words capitalised, capitals make no names.
+
+Windows of the plain case-folded words are matched as well: an item whose words stand in a document one
+after the other is found whatever their case, short items too (one window of all their words).
 
 The benchmark's windows go to the tasks in parts of at most `MAX_WINDOWS`; a larger benchmark takes
 several passes over the documents. Documents are never joined with each other.
 
 Defined results: null and empty texts hold no item; items with no template window (under five tokens,
-or placeholders nearly throughout) are never found; copies of an item under several ids are all
+or placeholders nearly throughout) are found as exact copies only; items without words never; copies of an item under several ids are all
 reported; a null item_id is left out. Rows of equal doc_id are told apart by their texts.
 """
 
@@ -28,6 +32,8 @@ from shoalmap.llm.words import Block, blocks, mixed, roll, signed
 WINDOW = 5
 SHARE = 0.8
 MAX_WINDOWS = 1_000_000
+CAPITALS = 0.6
+_PLAIN = 0x5EED0
 NUMBER, NAME, UNIT = 1, 2, 3
 # Words that are units after a number.
 UNITS = (
@@ -67,7 +73,10 @@ class Templates:
         opens = np.concatenate([[True], (text[1:] != text[:-1]) | _STOP[block.data[block.ends[full[:-1]] - 1]]]) if len(full) else full > 0
         h = roll(0).ranges(roll(0).prefix(data), start, end)
         kind = np.zeros(len(full), dtype=np.uint64)
-        kind[capital & ~opens] = NAME
+        # In a sentence mostly of capitalised words a capital does not tell a name.
+        sentence = np.cumsum(opens) - 1
+        shouted = np.bincount(sentence, capital) > CAPITALS * np.bincount(sentence) if len(full) else full > 0
+        kind[capital & ~opens & ~shouted[sentence]] = NAME
         kind[_DIGIT[first]] = NUMBER
         spot = np.minimum(np.searchsorted(units, h), len(units) - 1)
         follows = np.concatenate([[False], (kind[:-1] == NUMBER) & (text[1:] == text[:-1])]) if len(full) else full > 0
@@ -88,7 +97,7 @@ class Templates:
             self.at = np.flatnonzero(good)
             self.hash = mixed(total[self.at])
         sizes = np.bincount(self.text, minlength=len(block.rows)) if len(self.text) else np.zeros(len(block.rows), np.int64)
-        self.first = np.cumsum(sizes) - sizes
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
 
     def place(self, at: np.ndarray) -> np.ndarray:
         return at - self.first[self.text[at]]
@@ -99,15 +108,59 @@ class Templates:
         return [self.data[self.start[self.head[i]] : self.end[self.tail[i]]].tobytes().decode(errors="replace") for i in found]
 
 
-def _windows(wanted: np.ndarray | None):
-    """Rows of the template windows of a table (id, key, text); only those in `wanted`, if given."""
+def plain_windows(block: Block, short: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """Hashes, texts, places and text lengths of the windows of plain words of a block of case-folded texts.
+
+    A text under `WINDOW` words has one window of all its words. With `short`, windows of those sizes are
+    made all over the texts as well.
+    """
+    keep = _KEEP[block.data]
+    data = block.data[keep]
+    ends = np.flatnonzero(data == _SPACE)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+    full = np.flatnonzero(ends > starts)
+    text = block.text[full]
+    token = roll(0).ranges(roll(0).prefix(data), starts[full], ends[full])
+    sizes = np.bincount(text, minlength=len(block.rows))
+    first = np.cumsum(sizes) - sizes
+    h, at = [], []
+    for size in range(1, WINDOW + 1):
+        n = len(token) - size + 1
+        if n <= 0 or (size < WINDOW and short is not None and size not in short):
+            continue
+        good = text[size - 1 :] == text[:n]
+        if size < WINDOW and short is None:
+            good &= sizes[text[:n]] == size
+        own = np.flatnonzero(good)
+        h.append(mixed(sum(token[own + k] * _WEIGHTS[k] for k in range(size)) ^ np.uint64(_PLAIN + size)))
+        at.append(own)
+    h, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (at, np.int64)))
+    return h, text[at], at - first[text[at]], sizes[text[at]]
+
+
+def _windows(wanted: np.ndarray | None, short: list[int] | None = None):
+    """Rows of the template and plain windows of a table (id, key, text); only those in `wanted`, if given."""
 
     def run(batches):
         units = _unit_hashes()
         for batch in batches:
             ids, keys = batch.column("id"), batch.column("key")
-            rows, hashes, places, slots = [], [], [], []
-            for block in blocks(batch.column("text").to_pylist()):
+            rows, hashes, places, slots, plain, sizes = [], [], [], [], [], []
+            texts = batch.column("text").to_pylist()
+            for block in blocks(t and t.casefold() for t in texts):
+                if not block.words:
+                    continue
+                h, text, place, size = plain_windows(block, short)
+                if wanted is not None:
+                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    h, text, place, size = h[hit], text[hit], place[hit], size[hit]
+                rows += [block.rows[k] for k in text.tolist()]
+                hashes.append(signed(h))
+                places += place.tolist()
+                slots += [[]] * len(h)
+                plain += [True] * len(h)
+                sizes += size.tolist()
+            for block in blocks(texts):
                 if not block.words:
                     continue
                 t = Templates(block, units)
@@ -119,15 +172,17 @@ def _windows(wanted: np.ndarray | None):
                 hashes.append(signed(h))
                 places += t.place(at).tolist()
                 slots += [t.slots(k) for k in at.tolist()]
+                plain += [False] * len(at)
+                sizes += t.sizes[t.text[at]].tolist()
             pick = pa.array(rows, pa.int64())
             h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            columns = [ids.take(pick), keys.take(pick), pa.array(h), pa.array(places, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "h", "place", "slots"])
+            columns = [ids.take(pick), keys.take(pick), pa.array(h), pa.array(places, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(plain, pa.bool_()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "h", "place", "slots", "plain", "size"])
 
     return run
 
 
-_ROWS = "id long, key long, h long, place long, slots array<string>"
+_ROWS = "id long, key long, h long, place long, slots array<string>, plain boolean, size long"
 
 
 def _keyed(df: DataFrame, id_column: str) -> DataFrame:
@@ -140,9 +195,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     same (all slots hold the item's own values)."""
     items = _keyed(benchmark, "item_id").filter("id IS NOT NULL").distinct().mapInArrow(_windows(None), _ROWS)
     # An item of several rows is one item per row; the text's hash tells them apart.
-    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "plain", "size")
     items = items.persist()
-    sizes = items.groupBy("item_id", "item_key").agg(F.countDistinct("item_place").alias("n"))
+    sizes = items.groupBy("item_id", "item_key", "plain").agg(F.countDistinct("item_place").alias("n"))
     passes = max(1, -(-items.count() // most))
     found = None
     for k in range(passes):
@@ -151,22 +206,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
         wanted = np.sort(np.array([r.h for r in part.select("h").distinct().collect()], dtype=np.int64).view(np.uint64))
         if not len(wanted):
             continue
-        hits = _keyed(docs, "doc_id").mapInArrow(_windows(wanted), _ROWS).join(F.broadcast(part), "h")
+        short = [r["size"] for r in part.filter(F.col("plain") & (F.col("size") < WINDOW)).select("size").distinct().collect()]
+        hits = _keyed(docs, "doc_id").mapInArrow(_windows(wanted, short), _ROWS).drop("plain", "size").join(F.broadcast(part), "h")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return _keyed(docs, "doc_id").limit(0).selectExpr("id", "key", "id AS item_id", "CAST(1 AS DOUBLE) AS found", "true AS same")
     slots = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    found = found.select("id", "key", "item_id", "item_key", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), slots.alias("slots"))
-    counted = found.groupBy("id", "key", "item_id", "item_key", "offset").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    every = counted.groupBy("id", "key", "item_id", "item_key").agg(
+    found = found.select("id", "key", "item_id", "item_key", "plain", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), slots.alias("slots"))
+    counted = found.groupBy("id", "key", "item_id", "item_key", "plain", "offset").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    every = counted.filter(~F.col("plain")).groupBy("id", "key", "item_id", "item_key", "plain").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
     both = counted.drop("offset").unionByName(every)
     # A value of the item that stands for two values of the document contradicts itself.
     firm = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     same = F.forall("slots", lambda s: s["a"] == s["b"])
-    both = both.join(F.broadcast(sizes), ["item_id", "item_key"]).withColumn("found", F.size("places") / F.col("n"))
-    both = both.filter((F.col("found") >= share) & firm).withColumn("same", same)
+    both = both.join(F.broadcast(sizes), ["item_id", "item_key", "plain"]).withColumn("found", F.size("places") / F.col("n"))
+    # Plain words are an exact copy: all windows of the item, one after the other.
+    both = both.filter(F.when(F.col("plain"), F.col("found") == 1).otherwise((F.col("found") >= share) & firm)).withColumn("same", same)
     return both.groupBy("id", "key", "item_id").agg(F.max("found").alias("found"), F.max("same").alias("same"))
 
 
