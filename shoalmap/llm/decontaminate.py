@@ -9,14 +9,18 @@ value of the document. So exact and near copies are found, and questions with ot
 The test is made for each place (offset between document and item) and for all places together. In a
 sentence with more than `CAPITALS` of its words capitalised, capitals make no names.
 
-Windows of the plain case-folded words are matched as well: an item whose words stand in a document one
-after the other is found whatever their case, short items too (one window of all their words).
+An edited copy is found too: at one place, at least `COVER` of the item's tokens lie under windows found
+there, and the slots agree.
+
+Windows of the plain case-folded words are matched as well, whatever their case: a passage of `PASSAGE`
+words in a row, or of `PART` of the words of a shorter item, is found. An item under five words has one
+window of all its words and is found whole.
 
 The benchmark's windows go to the tasks in parts of at most `MAX_WINDOWS`; a larger benchmark takes
 several passes over the documents. Documents are never joined with each other.
 
 Defined results: null and empty texts hold no item; items with no template window (under five tokens,
-or placeholders nearly throughout) are found as exact copies only; items without words never; copies of an item under several ids are all
+or placeholders nearly throughout) are found by their plain words only; items without words never; copies of an item under several ids are all
 reported; a null item_id is left out. Rows of equal doc_id are told apart by their texts.
 """
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalmap.llm.words import Block, blocks, mixed, roll, signed
@@ -33,6 +37,10 @@ WINDOW = 5
 SHARE = 0.8
 MAX_WINDOWS = 1_000_000
 CAPITALS = 0.6
+# A passage of an item: so many words in a row, or this share of a shorter item.
+PASSAGE, PART = 13, 0.75
+# An edited copy: this share of the item's tokens lies under windows found at one place.
+COVER = 0.6
 _PLAIN = 0x5EED0
 NUMBER, NAME, UNIT = 1, 2, 3
 # Words that are units after a number.
@@ -190,14 +198,25 @@ def _keyed(df: DataFrame, id_column: str) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
+def _longest_run(places: Column) -> Column:
+    """How many numbers in a row a sorted array holds at most."""
+    start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit(-2).cast("long").alias("last"))
+
+    def step(a: Column, p: Column) -> Column:
+        run = F.when(p == a["last"] + 1, a["run"] + 1).otherwise(1)
+        return F.struct(F.greatest(a["best"], run).alias("best"), run.alias("run"), p.alias("last"))
+
+    return F.aggregate(places, start, step, lambda a: a["best"])
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int = MAX_WINDOWS) -> DataFrame:
-    """id and key (hash of the text) of documents, item_id, found (share of the item's windows) and
-    same (all slots hold the item's own values)."""
+    """id and key (hash of the text) of documents, item_id, found (share of the item's windows, of the
+    tokens under them in an edited copy, or of the words in a passage) and same (all slots hold the item's own values)."""
     items = _keyed(benchmark, "item_id").filter("id IS NOT NULL").distinct().mapInArrow(_windows(None), _ROWS)
     # An item of several rows is one item per row; the text's hash tells them apart.
     items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "plain", "size")
     items = items.persist()
-    sizes = items.groupBy("item_id", "item_key", "plain").agg(F.countDistinct("item_place").alias("n"))
+    sizes = items.groupBy("item_id", "item_key", "plain").agg(F.countDistinct("item_place").alias("n"), F.max("size").alias("size"))
     passes = max(1, -(-items.count() // most))
     found = None
     for k in range(passes):
@@ -217,13 +236,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     every = counted.filter(~F.col("plain")).groupBy("id", "key", "item_id", "item_key", "plain").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
-    both = counted.drop("offset").unionByName(every)
+    both = counted.withColumn("aligned", F.lit(True)).drop("offset").unionByName(every.withColumn("aligned", F.lit(False)))
     # A value of the item that stands for two values of the document contradicts itself.
     firm = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     same = F.forall("slots", lambda s: s["a"] == s["b"])
-    both = both.join(F.broadcast(sizes), ["item_id", "item_key", "plain"]).withColumn("found", F.size("places") / F.col("n"))
-    # Plain words are an exact copy: all windows of the item, one after the other.
-    both = both.filter(F.when(F.col("plain"), F.col("found") == 1).otherwise((F.col("found") >= share) & firm)).withColumn("same", same)
+    both = both.join(F.broadcast(sizes), ["item_id", "item_key", "plain"]).withColumn("windows", F.size("places") / F.col("n"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1))))) / F.col("size")
+    edited = F.col("aligned") & (covered >= COVER)
+    passage = _longest_run(F.array_sort("places")) + F.least("size", F.lit(WINDOW)) - 1
+    enough = F.least(F.lit(PASSAGE), F.greatest(F.floor(F.col("size") * PART), F.least("size", F.lit(WINDOW))))
+    both = both.withColumn("found", F.when(F.col("plain"), passage / F.col("size")).otherwise(F.when(edited, F.greatest("windows", covered)).otherwise(F.col("windows"))))
+    both = both.filter(F.when(F.col("plain"), passage >= enough).otherwise(((F.col("windows") >= share) | edited) & firm)).withColumn("same", same)
     return both.groupBy("id", "key", "item_id").agg(F.max("found").alias("found"), F.max("same").alias("same"))
 
 
