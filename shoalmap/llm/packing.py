@@ -1,6 +1,6 @@
 """Token packing: documents into sequences of at most `SIZE` tokens, by bulk-synchronous best fit.
 
-Tokens: the ids of the given tokenizer, then id 0. A longer document is cut into pieces of `SIZE`, the
+Tokens: the ids of the given tokenizer (added tokens are found in the texts), then id 0. A longer document is cut into pieces of `SIZE`, the
 first of which may be shorter. Pieces above half a sequence open one each. The others meet the gaps in
 rounds: pieces and gaps are range-sorted by size, larger first, and swept. A piece takes the smallest
 gap met so far that no earlier piece took (its successor in size). A sweep runs inside each range; what
@@ -75,23 +75,27 @@ class Encoder:
     """Ids of a byte-level BPE tokenizer, with the ids of parts of texts kept.
 
     The tokenizer cuts a text by a pattern first and merges inside the cuts, so parts between such cuts
-    have the same ids wherever they stand. At most `CACHE` parts are kept.
+    have the same ids wherever they stand. At most `CACHE` parts are kept. With `markers`, the content of
+    an added token is that token, as the tokenizer has it by default; texts with one go to it whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not markers
         # The tokenizer's merges, by the order of its ids, in an engine that is quicker on single words.
         letters = {chr(letter): byte for byte, letter in _BYTE_LETTERS.items()}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if markers and special else None
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.merges = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.kept = Kept(self.tokenizer, self.merges)
 
     def _parts(self, text: str) -> list[str]:
+        if self.added and self.added.search(text):
+            return [text]
         if _PLAIN.fullmatch(text) and not (("'" in text or "\n\n" in text or " \n" in text) and _RISKY.search(text)):
             return _PARTS.findall(text)
         return [text] if _ODD.search(text) else _OWN.findall(text)
@@ -111,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, ids: bool = False)
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids array<long>" if ids else "")
 
     def run(batches):
-        encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
+        encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer, markers=True)
         _ENCODERS[tokenizer] = encoder
         for batch in batches:
             own, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
