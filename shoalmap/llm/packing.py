@@ -7,10 +7,11 @@ gap met so far that no earlier piece took (its successor in size). A sweep runs
 is left of a range are pieces without a gap, then gaps without a piece, and a small table with two
 counts per range says which ranks of which ranges meet; small pieces meet a wide gap several at a time.
 Ranks are then joined, so no gap is claimed beyond its size. Gaps are updated, and the next round begins. When pieces are larger than every
-gap, the largest of them open as many sequences as their tokens need.
+gap, the largest of them open as many sequences as their tokens need, counted exactly; so every round
+opens a sequence or fills a gap, which is asserted.
 
-A round places a piece in every gap that any piece fits, and no row is held by the driver. All rounds
-together are written to the shared folder.
+A round places a piece in every gap that any piece fits, and no row is held by the driver. The rounds
+are written to one folder of the shared folder.
 
 Defined results: null and empty texts have the single token 0. Rows with equal doc_id, and equal rows,
 are packed one by one. An empty table gives no rows. Very long texts become many pieces.
@@ -18,6 +19,7 @@ are packed one by one. An empty table gives no rows. Very long texts become many
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
@@ -26,10 +28,10 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalmap.session import cut
+from shoalmap.session import cut, scratch_path
 
 SIZE = 2048
 END = 0
@@ -199,6 +201,7 @@ def _swept(table: DataFrame) -> DataFrame:
 
 PLACED, TODO, GAP, NEXT = 0, 1, 2, 3
 STATE = "what int, uid long, bin long, left int, size int"
+_STATE = ("what", "uid", "bin", "left", "size")
 
 
 def _meetings(counts: dict[int, dict[int, tuple[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -264,42 +267,72 @@ def _opened(state: DataFrame, wide: DataFrame, size: int) -> DataFrame:
     return state.unionByName(new).unionByName(gaps)
 
 
+def _chosen(state: DataFrame, wide: list[tuple[int, int]], size: int) -> Column:
+    """Which of the pieces wider than every gap open a sequence: the largest, as many as their tokens need.
+
+    `wide` has (size, rows) from the largest size down. Sizes are taken whole; of the last size exactly
+    the rows missing are taken, by buckets of a hash: whole buckets, and of the last one the smallest uids.
+    With sqrt(rows) buckets, neither the driver nor a task gets more than about sqrt(rows) of them.
+    """
+    open_ = -(-sum(s * n for s, n in wide) // size)
+    chosen = F.lit(False)
+    for s, n in wide:
+        if n <= open_:
+            # Sizes are taken from the largest down, so those taken whole are a range among the wide.
+            chosen, open_ = F.col("size") >= s, open_ - n
+            continue
+        if open_:
+            buckets = math.isqrt(n) + 1
+            bucket = F.pmod(F.xxhash64("uid"), F.lit(buckets))
+            last = state.filter((F.col("what") == TODO) & (F.col("size") == s)).withColumn("bucket", bucket)
+            counts = sorted((r["bucket"], r["count"]) for r in last.groupBy("bucket").count().collect())
+            for b, rows in counts:
+                if rows > open_:
+                    break
+                open_ -= rows
+            edge = F.col("uid") < 0
+            if open_:
+                uid = last.filter(F.col("bucket") == b).orderBy("uid").offset(open_ - 1).limit(1).first()["uid"]
+                edge = (bucket == b) & (F.col("uid") <= uid)
+            chosen = chosen | ((F.col("size") == s) & ((bucket < b) | edge))
+        break
+    return (F.col("what") == TODO) & chosen
+
+
 def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
-    """uid, sequence_id and offset for the pieces (uid, length) of a written table."""
+    """uid, sequence_id and offset for the pieces (uid, length) of a written table.
+
+    The state of each round is a folder of one table, by `what`; all placed rows are read from there in
+    one scan at the end, so plans do not grow with the rounds.
+    """
     spark = table.sparkSession
+    root = scratch_path(spark, "packing")
     todo = table.select(F.lit(TODO).alias("what"), "uid", F.lit(0).cast("long").alias("bin"), F.lit(0).alias("left"), F.col("length").cast("int").alias("size"))
     half = F.col("size") > size // 2
     state = _opened(todo.filter(~half), todo.filter(half), size)
-    placed = spark.createDataFrame([], "uid long, sequence_id long, offset long")
+    before, number = None, 0
     while True:
-        state = cut(state, "packing")
-        placed = placed.unionByName(state.filter(F.col("what") == PLACED).select("uid", F.col("bin").alias("sequence_id"), (F.lit(size) - F.col("left")).cast("long").alias("offset")))
+        state.select(*_STATE).write.partitionBy("what").parquet(f"{root}/round={number}")
+        state = spark.read.schema(STATE).parquet(f"{root}/round={number}").select(*_STATE).filter(F.col("what") != PLACED)
         # At most one row per size.
-        sizes = {(r["what"], r["size"]): r["count"] for r in state.filter(F.col("what") != PLACED).groupBy("what", "size").count().collect()}
-        if not any(what == TODO for what, _ in sizes):
-            return placed
-        state = state.filter(F.col("what") != PLACED)
+        sizes = {(r["what"], r["size"]): r["count"] for r in state.groupBy("what", "size").count().collect()}
+        left = sum(n for (what, _), n in sizes.items() if what == TODO)
+        if not left:
+            break
+        if before is not None and left >= before:
+            raise RuntimeError(f"a round of packing placed none of {left} pieces")
+        before, number = left, number + 1
         widest = max((s for what, s in sizes if what == GAP), default=0)
         wide = sorted(((s, n) for (what, s), n in sizes.items() if what == TODO and s > widest), reverse=True)
+        opened = None
         if wide:
-            open_ = -(-sum(s * n for s, n in wide) // size)
-            full, chosen = [], F.lit(False)
-            for s, n in wide:
-                if n > open_:
-                    # Of the last size only a share is needed, taken by a hash of uid.
-                    chosen = (F.col("size") == s) & (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) <= (open_ << 20) // n)
-                    break
-                full.append(s)
-                open_ -= n
-            if full:
-                # Sizes are taken from the largest down, so those taken whole are a range among the wide.
-                chosen = chosen | (F.col("size") >= min(full))
-            chosen = (F.col("what") == TODO) & chosen
-            if not widest and not state.filter(chosen).limit(1).count():
-                chosen = F.col("what") == TODO
+            chosen = _chosen(state, wide, size)
             state = _opened(state.filter(~chosen), state.filter(chosen), size)
-        opened = state.filter(F.col("what") == PLACED)
-        state = _round(state.filter(F.col("what") != PLACED)).unionByName(opened)
+            opened = state.filter(F.col("what") == PLACED)
+        state = _round(state.filter(F.col("what") != PLACED))
+        state = state if opened is None else state.unionByName(opened)
+    done = spark.read.schema(f"{STATE}, round int").parquet(root).filter(F.col("what") == PLACED)
+    return done.select("uid", F.col("bin").alias("sequence_id"), (F.lit(size) - F.col("left")).cast("long").alias("offset"))
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
@@ -312,5 +345,3 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> D
     where = pack(table, size)
     out = table.join(where, "uid")
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
-
-
