@@ -23,10 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalmap.llm.shards import shard_count
 from shoalmap.session import cut
 
 CHAIN = 2
 THRESHOLD = 0.8
+# Text per range of ids, and the most ranges whose floors are sent to the tasks.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 # Frequent words of four languages.
 ANCHORS = (
     "the of and to in a is that for it on was be with as by this are at from not or an have but "
@@ -102,39 +105,55 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     return members.select("doc_id", "set"), pairs.select("set", "other", "likeness")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _range_of(doc_id: Column, floors: list[int]) -> Column:
+    """Number of the range of an id: how many floors (falling) are above it, found by bisection."""
+    table = F.split(F.lit(",".join(map(str, floors))), ",").cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(floors)).alias("high"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        above = F.coalesce(F.get(table, middle) > doc_id, F.lit(False))
+        return F.struct(F.when(above, middle + 1).otherwise(a["low"]).alias("low"), F.when(above, a["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.sequence(F.lit(1), F.lit(len(floors).bit_length()))
+    return F.aggregate(rounds, start, step, lambda a: a["low"])
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text, signatures and next, the (text, signatures) of the next document in descending order
     of doc_id.
 
-    After the last comes the first. Ids are cut into ranges by a range partitioning of the ids alone; a
-    window then works inside each range, and the last document of a range takes the first of the range
-    below from a table with one row per range. The texts are shuffled once.
+    After the last comes the first. A range partitioning of the ids alone cuts them into ranges of about
+    `range_bytes` of text (at most `MAX_RANGES`, larger ones beyond); bare texts are shuffled once by
+    range, signatures are made after that. A copy of each range's first document follows the last one
+    of the range above, so a window inside the ranges sees every next document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = rows.select("doc_id").repartitionByRange(F.desc_nulls_last("doc_id")).withColumn("part", F.spark_partition_id())
-    # Smallest and largest id of each range: as many numbers as there are shuffle partitions.
-    ranges = [r for r in parts.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect() if r["low"] is not None]
-    floors = sorted((r["low"] for r in ranges), reverse=True)
-    low = F.array(*[F.lit(x).cast("long") for x in floors])
-    part = F.when(F.col("doc_id").isNull(), len(floors)).otherwise(F.size(F.filter(low, lambda x: x > F.col("doc_id")))) if floors else F.lit(0)
+    n = min(MAX_RANGES, shard_count(rows, size=range_bytes))
+    parts = rows.select("doc_id").repartitionByRange(n, F.desc_nulls_last("doc_id")).groupBy(F.spark_partition_id().alias("part"))
+    ranges = parts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.isnull("doc_id")).alias("none")).collect()
+    floors = sorted({r["low"] for r in ranges if r["low"] is not None}, reverse=True)
+    highs = [r["high"] for r in ranges if r["low"] is not None]
+    total = len(floors) + any(r["none"] for r in ranges)
+    part = F.when(F.col("doc_id").isNull(), len(floors)).otherwise(_range_of(F.col("doc_id"), floors)) if floors else F.lit(0)
     rows = rows.withColumn("part", part.cast("int"))
-    # Only documents with the largest id of a range can be its first.
-    first = rows.filter(F.col("doc_id").isNull() | F.col("doc_id").isin([r["high"] for r in ranges]))
-    first = first.groupBy("part").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(-(2**63) + 1)), "text")).alias("text"))
-    pair = F.struct("text", "signatures")
-    heads = Window.orderBy("part")
-    first = with_signatures(first).select("part", pair.alias("head"))
-    first = first.select("part", F.coalesce(F.lead("head").over(heads), F.first("head").over(heads)).alias("after"))
-    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
-    linked = with_signatures(rows).withColumn("next", F.lead(pair).over(order))
-    return linked.join(first, "part").select("doc_id", "text", "signatures", F.coalesce("next", "after").alias("next"))
-
-
-def edited_digest(docs: DataFrame) -> DataFrame:
+    # Only documents with the largest id of a range, or none, can be its first.
+    first = rows.filter(F.col("doc_id").isNull() | F.col("doc_id").isin(highs))
+    falling = F.struct(F.col("doc_id").isNull().alias("none"), (-F.coalesce("doc_id", F.lit(0))).alias("at"), "text")
+    first = first.groupBy("part").agg(F.min(falling).alias("x"))
+    heads = first.select(F.lit(None).cast("long").alias("doc_id"), "x.text", F.pmod(F.col("part") - 1, F.lit(max(1, total))).cast("int").alias("part"))
+    both = rows.withColumn("copied", F.lit(False)).unionByName(heads.withColumn("copied", F.lit(True)))
+    both = with_signatures(both.repartition(max(1, total), "part"))
+    order = Window.partitionBy("part").orderBy("copied", F.desc_nulls_last("doc_id"), "text")
+    linked = both.withColumn("next", F.lead(F.struct("text", "signatures")).over(order))
+    return linked.filter(~F.col("copied")).select("doc_id", "text", "signatures", "next")
+
+
+def edited_digest(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The columns of the checked query."""
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    df = with_next(docs).withColumn("n_chars", n.cast("long"))
+    df = with_next(docs, range_bytes).withColumn("n_chars", n.cast("long"))
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third)))
     df = with_signatures(df, "edited", "edited_signatures")
     own, edited, after = F.col("signatures"), F.col("edited_signatures"), F.col("next.signatures")
