@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shoalmap.llm.decontaminate import drop_contaminated
-from shoalmap.llm.near_copies import keep_one_copy
 from shoalmap.llm.packing import packed
 from shoalmap.llm.queries import table
+from shoalmap.llm.simhash import keep_one
 from shoalmap.llm.substring_dedup import remove_repeats
 from shoalmap.llm.toxicity import drop_toxic
 from shoalmap.session import cut
@@ -23,9 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarities of 0.8 or more, the one with the smallest
-    doc_id stays."""
-    return keep_one_copy(docs)
+    """Of documents whose three-word fingerprints are linked by three bits or fewer, the one with the
+    smallest doc_id stays."""
+    return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
