@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalmap.llm.words import Block, blocks, mixed, roll, signed
+from shoalmap.session import cut
 
 WINDOW = 5
 SHARE = 0.8
@@ -215,7 +216,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     items = _keyed(benchmark, "item_id").filter("id IS NOT NULL").distinct().mapInArrow(_windows(None), _ROWS)
     # An item of several rows is one item per row; the text's hash tells them apart.
     items = items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "plain", "size")
-    items = items.persist()
+    items = cut(items, "items")
     sizes = items.groupBy("item_id", "item_key", "plain").agg(F.countDistinct("item_place").alias("n"), F.max("size").alias("size"))
     passes = max(1, -(-items.count() // most))
     found = None
@@ -233,6 +234,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     slots = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     found = found.select("id", "key", "item_id", "item_key", "plain", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), slots.alias("slots"))
     counted = found.groupBy("id", "key", "item_id", "item_key", "plain", "offset").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    # Written once: it is read twice below, and making it streams all documents.
+    counted = cut(counted, "hits")
     every = counted.filter(~F.col("plain")).groupBy("id", "key", "item_id", "item_key", "plain").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
@@ -240,7 +243,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     # A value of the item that stands for two values of the document contradicts itself.
     firm = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     same = F.forall("slots", lambda s: s["a"] == s["b"])
-    both = both.join(F.broadcast(sizes), ["item_id", "item_key", "plain"]).withColumn("windows", F.size("places") / F.col("n"))
+    both = both.join(sizes, ["item_id", "item_key", "plain"]).withColumn("windows", F.size("places") / F.col("n"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1))))) / F.col("size")
     edited = F.col("aligned") & (covered >= COVER)
     passage = _longest_run(F.array_sort("places")) + F.least("size", F.lit(WINDOW)) - 1
