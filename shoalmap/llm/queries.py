@@ -108,3 +108,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = scan(document_files(spark, table(spark, sf_dir, "documents")))
     return out.select("rest.*", "license", "cosine", "origin", "from_directory")
+
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.feistel import shard_digest
+
+    return shard_digest(table(spark, sf_dir, "documents"))
