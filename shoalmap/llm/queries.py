@@ -115,3 +115,48 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.feistel import shard_digest
 
     return shard_digest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_resampling",
+    r"""
+    WITH bits AS (
+        SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of
+    ), texts AS (
+        SELECT true AS own, doc_id, row_number() OVER () AS pos, coalesce(text, '') AS text FROM documents
+        UNION ALL SELECT false, NULL, -row_number() OVER (), coalesce(text, '') FROM benchmark
+    ), words AS (
+        SELECT own, pos, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts
+    ), counted AS (
+        SELECT own, pos, w, count(*) AS n FROM words GROUP BY ALL
+    ), hexed AS (
+        SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM counted)
+    ), bytes AS (
+        SELECT w, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2))::BIGINT) AS b FROM hexed
+    ), buckets AS (
+        SELECT w, xor(list_reduce([4294967295] || b, lambda c, v: xor(c >> 8, crc_of[CAST(1 + (xor(c, v) & 255) AS INTEGER)])), 4294967295) % 10000 AS bucket FROM bytes, bits
+    ), per AS (
+        SELECT own, pos, bucket, sum(n) AS n FROM counted JOIN buckets USING (w) GROUP BY ALL
+    ), totals AS (
+        SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM per GROUP BY bucket
+    ), whole AS (
+        SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM totals
+    ), gained AS (
+        SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM totals, whole
+    ), weighed AS (
+        SELECT pos, sum(n) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM per JOIN gained USING (bucket) WHERE own GROUP BY pos
+    ), scored AS (
+        SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+        FROM texts LEFT JOIN weighed USING (pos) WHERE own
+    ), ranked AS (
+        SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+               count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+    """,
+)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
