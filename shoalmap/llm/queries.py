@@ -160,3 +160,48 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoalmap.llm.resampling import resample
 
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_divergence",
+    r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS pos, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+    ), words AS (
+        SELECT pos, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+    ), kept AS (
+        SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT pos) >= 10
+    ), v AS (
+        SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+    ), groups AS (
+        SELECT DISTINCT lang, source FROM docs
+    ), n AS (
+        SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL
+    ), counts AS (
+        SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, sum(coalesce(n.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+        FROM groups g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+    ), p AS (
+        SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM counts JOIN v USING (lang)
+    ), whole AS (
+        SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL
+    ), q AS (
+        SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM whole JOIN v USING (lang)
+    ), pair AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+                   FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+        ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+    ), term AS (
+        SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+    ), every AS (
+        SELECT * FROM pair UNION ALL SELECT * FROM term
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM every QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoalmap.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
