@@ -25,6 +25,8 @@ from shoalmap.operators.numbering import number_hashed
 from shoalmap.session import cut
 
 BLOCK_ROWS = 2000
+# Folds and repeats of the outer cross-validation.
+OUTER_SPLITS, OUTER_REPEATS = 5, 10
 # Numbers of partial sums a task holds before it sends them on.
 HELD = 4_000_000
 
@@ -48,10 +50,11 @@ def dealt_folds(points: DataFrame, keys: list[str], ids: list[str], y: str, k: i
     return again.withColumn("inner_idx", ((F.col("row_number") - 1 + F.col("_y").cast("int") + F.col("split_idx")) % inner).cast("int")).drop("row_number", "_y")
 
 
-def fold_blocks(points: DataFrame, keys: list[str], ids: list[str], xs: str, y: str, k: int, reps: int, seed: int, inner: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fold_blocks(points: DataFrame, keys: list[str], ids: list[str], xs: str, y: str, k: int, reps: int, seed: int, inner: int = 1, block_rows: int = BLOCK_ROWS, folds: DataFrame | None = None) -> DataFrame:
     """One row per block: keys, block, n, ids (JSON per row), x (n * p doubles), y (n doubles), folds and
-    inners (n * reps bytes). `points` must have one row per (keys, ids)."""
-    folds = dealt_folds(points, keys, ids, y, k, reps, inner, seed)
+    inners (n * reps bytes). `points` must have one row per (keys, ids); `folds` can bring folds of the
+    caller's own (keys, ids, rep_idx, split_idx, inner_idx)."""
+    folds = dealt_folds(points, keys, ids, y, k, reps, inner, seed) if folds is None else folds
     per_row = folds.groupBy(*keys, *ids).agg(F.array_sort(F.collect_list(F.struct("rep_idx", "split_idx", "inner_idx"))).alias("_f"))
     named = F.to_json(F.struct(*ids)).alias("_id")
     rows = points.join(per_row, [*keys, *ids]).select(*keys, named, F.col(xs).alias("_x"), F.col(y).cast("double").alias("_y"), F.col("_f.split_idx").alias("_s"), F.col("_f.inner_idx").alias("_i"))

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from shoalmap.operators import clusters as cl
 from shoalmap.operators import features as ft
+from shoalmap.operators import folded as fo
+from shoalmap.operators import grouped as gr
 from shoalmap.operators import importance as im
 from shoalmap.operators import kernel as kn
 from shoalmap.operators import linear as ln
 from shoalmap.operators import models as md
+from shoalmap.operators.losses import scorers
 from shoalmap.operators.sampling import repeated_kfold
 from shoalmap.plans.aggregate_queries import one_scorer
 from shoalmap.plans.registry import R, query, r6
@@ -142,7 +145,7 @@ def _(v):
     return v.spark.createDataFrame([(n,) for n in kept], "var string")
 
 
-def folded_points(v, k=5, reps=1):
+def folded_points(v, k=fo.OUTER_SPLITS, reps=fo.OUTER_REPEATS):
     points = sample(v).select("species", "huc12", "comid", "y", F.array(*NAMES).alias("xs"))
     return repeated_kfold(points, ["species"], ["comid"], k=k, reps=reps, seed=1)
 
@@ -164,13 +167,13 @@ def _(v):
 
 @query("h09_fit_linear_svc")
 def _(v):
-    return coef_table(md.fit_linear_svc(vectors(v), max_iter=20), NAMES, v.spark)
+    return coef_table(md.fit_linear_svc(vectors(v)), NAMES, v.spark)
 
 
 @query("h10_fit_rbf_svc")
 def _(v):
     data = vectors(v)
-    model = md.fit_rbf_svc(data, len(NAMES), count=16, max_iter=10)
+    model = md.fit_rbf_svc(data, len(NAMES))
     return md.predict(model, data).select("species", "comid", "y", "yhat")
 
 
@@ -180,17 +183,135 @@ def _(v):
     return md.predict(md.fit_gbt(data, trees=3), data).select("species", "comid", "y", "yhat")
 
 
-@query("h12_cross_validate")
+KEY = ["species"]
+# Sample sizes per species and fold in SQL; folds differ by one row at most, the first ones are larger.
+FOLDS_SQL = f"""n AS (SELECT species, count(*) AS n FROM truth WHERE comid IN (SELECT comid FROM features) GROUP BY ALL),
+       folds AS (SELECT species, n, CAST(r AS INTEGER) AS rep_idx, CAST(s AS INTEGER) AS split_idx, (n - s + {fo.OUTER_SPLITS - 1}) // {fo.OUTER_SPLITS} AS n_test
+                 FROM n, range({fo.OUTER_REPEATS}) t(r), range({fo.OUTER_SPLITS}) u(s))"""
+
+
+def raw_vectors(v):
+    """(comid, xs) with gaps: what is fitted to fill them must not see test rows."""
+    return ft.as_vectors(v.features.filter(C("var").isin(*NAMES)), [], NAMES)
+
+
+def raw_points(v):
+    return v.truth.select("species", "comid", "y").join(raw_vectors(v), "comid")
+
+
+def folded_sample(v, inner=1, reps=fo.OUTER_REPEATS):
+    blocks = fo.fold_blocks(raw_points(v), KEY, ["comid"], "xs", "y", fo.OUTER_SPLITS, reps, 1, inner)
+    return blocks, fo.preparations(blocks, KEY, fo.OUTER_SPLITS, reps, inner)
+
+
+def all_species(v, kind, cost=1.0, reps=fo.OUTER_REPEATS):
+    blocks, prepared = folded_sample(v, reps=reps)
+    return blocks, gr.fit_models(blocks, fo.fold_models(prepared, KEY, [cost]), KEY, kind)
+
+
+def pooled_fits(v, kind="logistic"):
+    """One group of all species: a group of any size is many blocks."""
+    points = raw_points(v).select(F.lit("all").alias("species"), C("species").alias("name"), "comid", "y", "xs")
+    blocks = fo.fold_blocks(points, KEY, ["name", "comid"], "xs", "y", fo.OUTER_SPLITS, fo.OUTER_REPEATS, 2)
+    prepared = fo.preparations(blocks, KEY, fo.OUTER_SPLITS, fo.OUTER_REPEATS)
+    return blocks, gr.fit_models(blocks, fo.fold_models(prepared, KEY, [1.0]), KEY, kind)
+
+
+def from_id(df, *names):
+    """The columns that the blocks keep as JSON text."""
+    return df.select("*", *[F.get_json_object("id", f"$.{n}").alias(n) for n in names]).drop("id")
+
+
+@query(
+    "h04_prepared_folds",
+    "truth features",
+    f"""WITH p AS (SELECT species, comid, var, x, CAST(comid AS BIGINT) % 5 AS f FROM truth JOIN features USING (comid) WHERE var IN ({', '.join(repr(n) for n in NAMES)})),
+       t AS (SELECT s.split_idx, p.* FROM p, (SELECT unnest(range(5)) AS split_idx) s WHERE p.f <> s.split_idx),
+       m AS (SELECT species, split_idx, var, coalesce(avg(x), 0) AS fill FROM t GROUP BY ALL),
+       z AS (SELECT species, split_idx, var, any_value(fill) AS fill, avg(coalesce(x, fill)) AS mean, stddev_pop(coalesce(x, fill)) AS std, count(*) AS n FROM t JOIN m USING (species, split_idx, var) GROUP BY ALL)
+       SELECT species, CAST(split_idx AS INTEGER) AS split_idx, var, n, {R("fill", "fill")}, {R("mean", "mean")}, round(CASE WHEN std < 1e-7 * greatest(1, abs(mean)) THEN 1 ELSE std END, 4) AS std FROM z""",
+)
+def _(v):
+    """Preparation of each training set, for folds that SQL can make as well."""
+    points = raw_points(v)
+    folds = points.select("species", "comid", F.lit(0).alias("rep_idx"), (C("comid").cast("bigint") % 5).cast("int").alias("split_idx"), F.lit(0).alias("inner_idx"))
+    prepared = fo.preparations(fo.fold_blocks(points, KEY, ["comid"], "xs", "y", 5, 1, 1, folds=folds), KEY, 5, 1)
+    var = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in NAMES]).alias("var"), "fill", "mean", "std")).alias("v")
+    rows = prepared.select("species", "split_idx", C("n").cast("long").alias("n"), var)
+    return rows.select("species", "split_idx", "v.var", "n", r6("v.fill").alias("fill"), r6("v.mean").alias("mean"), F.round("v.std", 4).alias("std"))
+
+
+def optimal_fits(v, kind):
+    _blocks, fitted = all_species(v, kind)
+    return fitted.select("species", "rep_idx", "split_idx", C("n").cast("long").alias("n_train"), (C("residual") <= 1e-8).alias("optimal"))
+
+
+OPTIMAL_SQL = f"WITH {FOLDS_SQL} SELECT species, rep_idx, split_idx, n - n_test AS n_train, true AS optimal FROM folds"
+
+
+@query("h08_logistic_all_species", "truth features", OPTIMAL_SQL)
 def _(v):
-    folded = md.cut(repeated_kfold(vectors(v), [], ["species", "comid"], k=3, reps=1, seed=2))
-    _models, _oof, scores = md.cross_validate(folded, md.fit_logistic, [(0, s) for s in range(3)])
-    return scores
+    """L1 logistic regression of every species and fold; optimal by the subgradient over the training rows."""
+    return optimal_fits(v, "logistic")
+
+
+@query("h09_linear_svc_all_species", "truth features", OPTIMAL_SQL)
+def _(v):
+    return optimal_fits(v, "svc")
+
+
+@query("h08_coefficients")
+def _(v):
+    """Weights per raw unit and standardised, of every species and fold."""
+    _blocks, fitted = all_species(v, "logistic")
+    return gr.coefficient_rows(fitted, KEY, NAMES, "logistic")
+
+
+@query(
+    "h12_cross_validate",
+    "truth features",
+    f"""WITH {FOLDS_SQL} SELECT species, estimator, rep_idx, split_idx, n_test, true AS scored
+       FROM folds, (VALUES ('logistic-reg'), ('linear-svc')) e(estimator) WHERE n_test > 0""",
+)
+def _(v):
+    """Scores of both linear classifiers on each test fold of every species."""
+    blocks, prepared = folded_sample(v)
+    models = fo.fold_models(prepared, KEY, [1.0])
+    out = None
+    for kind, name in gr.ESTIMATORS.items():
+        fitted = gr.fit_models(blocks, models, KEY, kind)
+        part = gr.model_scores(blocks, fitted, KEY, kind).join(fitted.select("species", "model", "rep_idx", "split_idx"), ["species", "model"])
+        part = part.select("species", F.lit(name).alias("estimator"), "rep_idx", "split_idx", "n_test", C("f1_micro").between(0, 1).alias("scored"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("h12_scores")
+def _(v):
+    """The scores of all species' models, by scorer, from the hard out-of-fold predictions."""
+    blocks, fitted = all_species(v, "logistic")
+    oof = gr.predictions(gr.predict_models(blocks, fitted, KEY, "logistic"), fitted, KEY, "logistic")
+    return scorers(oof, ["species", "estimator", "rep_idx", "split_idx"])
+
+
+@query(
+    "h13_inner_search",
+    "truth features",
+    f"""WITH {FOLDS_SQL} SELECT species, rep_idx, split_idx, {len(gr.GRIDS['svc'])} AS points, true AS in_grid FROM folds""",
+)
+def _(v):
+    """Inner search of the linear SVM: all points over five inner folds of every outer training set."""
+    blocks, prepared = folded_sample(v, gr.INNER_SPLITS)
+    points, chosen = gr.inner_search(blocks, prepared, KEY, "svc")
+    counted = points.groupBy("species", "rep_idx", "split_idx").agg(F.count("*").cast("int").alias("points"))
+    inside = F.array_contains(F.array(*[F.lit(float(c)) for c in gr.GRIDS["svc"]]), C("C"))
+    return counted.join(chosen.select("species", "rep_idx", "split_idx", inside.alias("in_grid")), ["species", "rep_idx", "split_idx"])
 
 
 @query("h13_grid_search")
 def _(v):
     data = md.cut(vectors(v))
-    search = md.fit_searched(data, "logistic-reg", ["species", "comid"], folds=2, grid={"regParam": [0.1, 0.001]})
+    search = md.fit_searched(data, "logistic-reg", ["species", "comid"])
     grid = [(float(m.get(search.getEstimator().regParam)), float(a)) for m, a in zip(search.getEstimatorParamMaps(), search.avgMetrics)]
     return v.spark.createDataFrame(grid, "reg double, roc_auc double")
 
@@ -204,9 +325,23 @@ def _(v):
 
 @query("h14_predict_oof_pooled")
 def _(v):
-    folded = md.cut(repeated_kfold(vectors(v), [], ["species", "comid"], k=2, reps=1, seed=2))
-    models, _oof, _scores = md.cross_validate(folded, md.fit_logistic, [(0, 0), (0, 1)])
-    return md.predict_oof(folded, models, "logistic-reg").select("species", "estimator", "huc12", "comid", "rep_idx", "split_idx", "yhat", "y")
+    blocks, fitted = pooled_fits(v)
+    oof = gr.predictions(gr.predict_models(blocks, fitted, KEY, "logistic"), fitted, KEY, "logistic").drop("species", "margin")
+    return from_id(oof.withColumn("y", C("y").cast("int")), "name", "comid").withColumnRenamed("name", "species")
+
+
+@query(
+    "h14_predict_oof_svc",
+    "truth features",
+    f"""WITH {FOLDS_SQL}, y AS (SELECT species, sum(y) AS ones FROM truth WHERE comid IN (SELECT comid FROM features) GROUP BY ALL)
+       SELECT species, rep_idx, sum(n_test) AS n, any_value(ones) AS ones, true AS hard FROM folds JOIN y USING (species) GROUP BY species, rep_idx""",
+)
+def _(v):
+    """Hard out-of-fold classes: each row once per repeat, by the model that did not see it."""
+    blocks, fitted = all_species(v, "svc")
+    oof = gr.predictions(gr.predict_models(blocks, fitted, KEY, "svc"), fitted, KEY, "svc")
+    hard = F.bool_and(C("yhat").isin(0, 1)).alias("hard")
+    return oof.groupBy("species", "rep_idx").agg(F.count("*").cast("decimal(38,0)").alias("n"), F.sum("y").cast("long").cast("decimal(38,0)").alias("ones"), hard)
 
 
 def universe(v):
@@ -221,24 +356,44 @@ def universe(v):
 
 @query("h15_predict_universe")
 def _(v):
-    coef = ln.lpm_cross_validate(folded_points(v, k=2), ["species"], "xs", "y", NAMES)
+    coef = ln.lpm_cross_validate(folded_points(v), ["species"], "xs", "y", NAMES)
     points = universe(v).select("species", "huc12", "comid", F.array(*NAMES).alias("xs"))
     return ln.lpm_predict_universe(points, coef, ["species"], "xs", NAMES).drop("xs")
 
 
+def raw_universe(v):
+    """Catchments outside the sample, per species, with gaps."""
+    from shoalmap.operators.joins import predict_universe
+
+    places, _missing = predict_universe(v.survey, v.species_range, v.crosswalk)
+    return places.join(raw_vectors(v), "comid")
+
+
 @query("h15_predict_universe_pooled")
 def _(v):
-    folded = md.cut(repeated_kfold(vectors(v), [], ["species", "comid"], k=2, reps=1, seed=2))
-    models, _oof, _scores = md.cross_validate(folded, md.fit_logistic, [(0, 0), (0, 1)])
-    points = universe(v).withColumn("features", md.array_to_vector(F.array(*NAMES))).select("species", "huc12", "comid", "features")
-    return md.predict_universe_blocks(points, models, "logistic-reg", NAMES, NAMES).drop("features")
+    _blocks, fitted = pooled_fits(v)
+    rows = raw_universe(v).select(F.lit("all").alias("species"), F.to_json(F.struct(C("species").alias("name"), "huc12", "comid")).alias("_id"), C("xs").alias("_x"))
+    out = gr.predict_models(fo.pack_blocks(rows, KEY), fitted, KEY, "logistic", tested=False)
+    out = gr.predictions(out, fitted, KEY, "logistic").drop("species", "margin")
+    return from_id(out, "name", "huc12", "comid").withColumnRenamed("name", "species")
+
+
+@query("h15_predict_universe_all_species")
+def _(v):
+    """All fold models of a species over its universe, in one scan."""
+    _blocks, fitted = all_species(v, "logistic")
+    rows = raw_universe(v).select("species", F.to_json(F.struct("huc12", "comid")).alias("_id"), C("xs").alias("_x"))
+    out = gr.predict_models(fo.pack_blocks(rows, KEY), fitted, KEY, "logistic", tested=False)
+    return from_id(gr.predictions(out, fitted, KEY, "logistic"), "huc12", "comid")
 
 
 @query("h17_coef_score_rows")
 def _(v):
-    folded = md.cut(repeated_kfold(vectors(v), [], ["species", "comid"], k=2, reps=1, seed=2))
-    models, _oof, scores = md.cross_validate(folded, md.fit_logistic, [(0, 0), (0, 1)])
-    return md.coef_score_rows(v.spark, models, scores, NAMES, "all", "logistic-reg")
+    """Coefficient rows and score rows of every species and fold, scores marked by their prefix."""
+    blocks, fitted = all_species(v, "logistic")
+    coefs = gr.coefficient_rows(fitted, KEY, NAMES, "logistic").drop("standard")
+    oof = gr.predictions(gr.predict_models(blocks, fitted, KEY, "logistic"), fitted, KEY, "logistic")
+    return coefs.unionByName(md.score_rows(scorers(oof, ["species", "estimator", "rep_idx", "split_idx"])))
 
 
 def clustered(v, method, **settings):
