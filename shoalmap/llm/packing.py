@@ -36,6 +36,8 @@ from shoalmap.session import cut, scratch_path
 SIZE = 2048
 END = 0
 CACHE = 150_000
+# Rows of a round's table per task that writes it, and per range of a sweep.
+TASK_ROWS, RANGE_ROWS = 50_000, 200_000
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 # Texts of these characters are cut by a simple pattern; others by the tokenizer's own, which is slower.
 _PLAIN = re.compile(rf"[ -~\n{_LETTER}\u00a1\u00bf\u2013\u2014\u2018-\u201f\u2026]*")
@@ -169,9 +171,10 @@ def sweep(sizes: np.ndarray, is_gap: np.ndarray, low: int) -> tuple[list[tuple[i
     return match, bare, [(n, size) for size in sorted(held, reverse=True) for n in held[size]]
 
 
-def _swept(table: DataFrame) -> DataFrame:
+def _swept(table: DataFrame, ranges: int) -> DataFrame:
     """One sweep over each range of (what, uid, bin, size): matches, then pieces and gaps left over.
 
+    A table of at most a range's rows is one range, so the last rounds need no partitioning.
     part and rank place what is left; a gap that was used and stays out is a gap of the next round.
     """
 
@@ -196,7 +199,8 @@ def _swept(table: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*columns, part], names=[*names, "part"])
 
     order = [F.desc("size"), F.desc("what"), "uid", "bin"]
-    return table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "what int, uid long, bin long, left int, size int, rank long, part int")
+    ranged = table.coalesce(1) if ranges <= 1 else table.repartitionByRange(ranges, *order)
+    return ranged.sortWithinPartitions(*order).mapInArrow(run, "what int, uid long, bin long, left int, size int, rank long, part int")
 
 
 PLACED, TODO, GAP, NEXT = 0, 1, 2, 3
@@ -232,29 +236,41 @@ def _meetings(counts: dict[int, dict[int, tuple[int, int]]]) -> list[tuple[int,
     return out
 
 
-def _round(state: DataFrame) -> DataFrame:
+def _round(state: DataFrame, ranges: int) -> DataFrame:
     """State after one sweep over all ranges."""
     spark = state.sparkSession
-    swept = cut(_swept(state.filter(F.col("what") != PLACED).select("what", "uid", "bin", "size")), "sweep")
+    swept = cut(_swept(state.filter(F.col("what") != PLACED).select("what", "uid", "bin", "size"), ranges), "sweep")
     counts: dict[int, dict[int, tuple[int, int]]] = {}
     sizes = swept.filter(F.col("what").isin(TODO, GAP)).groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
     for r in sizes.collect():
         counts.setdefault(r["part"], {})[r["what"]] = (r["n"], r["high"] if r["what"] == TODO else r["low"])
-    met = spark.createDataFrame(_meetings(counts), "what int, part int, first long, n long, number long, per long")
+    stretches: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+    for what, part, *stretch in _meetings(counts):
+        stretches.setdefault((what, part), []).append(tuple(stretch))
+    met = [(what, part, own) for (what, part), own in stretches.items()]
+    met = spark.createDataFrame(met, "what int, part int, stretches array<struct<first: long, n: long, number: long, per: long>>")
     left = swept.filter(F.col("what").isin(TODO, GAP)).join(F.broadcast(met), ["what", "part"], "left")
-    inside = F.col("first").isNotNull() & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
-    # Several stretches of a range may meet others; a row keeps the one it is in.
-    meeting = F.col("number") + F.floor((F.col("rank") - F.col("first")) / F.col("per"))
-    left = left.groupBy("what", "uid", "bin", "size").agg(F.max(F.when(inside, meeting)).alias("meeting"))
-    ours = left.filter((F.col("what") == TODO) & F.col("meeting").isNotNull()).select("meeting", "uid", F.col("size").alias("length"))
-    theirs = left.filter((F.col("what") == GAP) & F.col("meeting").isNotNull()).select("meeting", "bin", F.col("size").alias("gap"))
+    rank = F.col("rank")
+    # Stretches of a range don't overlap: a row is in one of them or stays.
+    own = F.get(F.filter("stretches", lambda x: (rank >= x["first"]) & (rank < x["first"] + x["n"])), F.lit(0))
+    left = left.withColumn("own", own).withColumn("meeting", F.col("own.number") + F.floor((rank - F.col("own.first")) / F.col("own.per")))
     # At most a sequence's worth of pieces meet in one gap.
-    before = F.sum("length").over(Window.partitionBy("meeting").orderBy(F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = ours.withColumn("used", before).join(theirs, "meeting")
-    left_over = (F.col("gap") - F.col("used") + F.col("length")).cast("int")
-    placed = pairs.select(F.lit(PLACED).alias("what"), "uid", "bin", left_over.alias("left"), F.col("length").alias("size"))
-    rest = pairs.groupBy("bin").agg(F.min(F.col("gap") - F.col("used")).cast("int").alias("size")).filter("size > 0")
-    rest = rest.select(F.lit(GAP).alias("what"), F.lit(0).cast("long").alias("uid"), "bin", F.lit(0).alias("left"), "size")
+    order = Window.partitionBy("meeting").orderBy("is_gap", F.desc("size"), "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("meeting")
+    pairs = left.filter("meeting IS NOT NULL").withColumn("is_gap", F.col("what") == GAP)
+    length = F.when(~F.col("is_gap"), F.col("size")).otherwise(0)
+    pairs = pairs.select(
+        "what",
+        "uid",
+        "size",
+        "is_gap",
+        F.max(F.when(F.col("is_gap"), F.col("bin"))).over(whole).alias("bin"),
+        F.max(F.when(F.col("is_gap"), F.col("size"))).over(whole).alias("gap"),
+        F.sum(length).over(order).cast("int").alias("used"),
+    )
+    placed = pairs.filter(~F.col("is_gap")).select(F.lit(PLACED).alias("what"), "uid", "bin", (F.col("gap") - F.col("used") + F.col("size")).alias("left"), "size")
+    # The gap comes after its pieces, so what is used before it is all that is used.
+    rest = pairs.filter("is_gap AND gap > used").select("what", "uid", "bin", F.lit(0).alias("left"), (F.col("gap") - F.col("used")).alias("size"))
     stay = left.filter("meeting IS NULL").select("what", "uid", "bin", F.lit(0).alias("left"), "size")
     done = swept.filter(F.col("what").isin(PLACED, NEXT)).select(F.when(F.col("what") == NEXT, GAP).otherwise(PLACED).alias("what"), "uid", "bin", "left", "size")
     return done.unionByName(placed).unionByName(rest).unionByName(stay)
@@ -299,7 +315,7 @@ def _chosen(state: DataFrame, wide: list[tuple[int, int]], size: int) -> Column:
     return (F.col("what") == TODO) & chosen
 
 
-def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
+def pack(table: DataFrame, size: int = SIZE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """uid, sequence_id and offset for the pieces (uid, length) of a written table.
 
     The state of each round is a folder of one table, by `what`; all placed rows are read from there in
@@ -310,13 +326,15 @@ def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
     todo = table.select(F.lit(TODO).alias("what"), "uid", F.lit(0).cast("long").alias("bin"), F.lit(0).alias("left"), F.col("length").cast("int").alias("size"))
     half = F.col("size") > size // 2
     state = _opened(todo.filter(~half), todo.filter(half), size)
-    before, number = None, 0
+    before, number, rows = None, 0, None
     while True:
+        # A round of few rows is few files.
+        state = state if rows is None else state.coalesce(rows // TASK_ROWS + 1)
         state.select(*_STATE).write.partitionBy("what").parquet(f"{root}/round={number}")
         state = spark.read.schema(STATE).parquet(f"{root}/round={number}").select(*_STATE).filter(F.col("what") != PLACED)
         # At most one row per size.
         sizes = {(r["what"], r["size"]): r["count"] for r in state.groupBy("what", "size").count().collect()}
-        left = sum(n for (what, _), n in sizes.items() if what == TODO)
+        left, rows = sum(n for (what, _), n in sizes.items() if what == TODO), sum(sizes.values())
         if not left:
             break
         if before is not None and left >= before:
@@ -329,7 +347,7 @@ def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
             chosen = _chosen(state, wide, size)
             state = _opened(state.filter(~chosen), state.filter(chosen), size)
             opened = state.filter(F.col("what") == PLACED)
-        state = _round(state.filter(F.col("what") != PLACED))
+        state = _round(state.filter(F.col("what") != PLACED), -(-rows // range_rows))
         state = state if opened is None else state.unionByName(opened)
     done = spark.read.schema(f"{STATE}, round int").parquet(root).filter(F.col("what") == PLACED)
     return done.select("uid", F.col("bin").alias("sequence_id"), (F.lit(size) - F.col("left")).cast("long").alias("offset"))
