@@ -47,7 +47,9 @@ DECAY = 0.75
 LEAST = 0.35
 LEAN = 3.2
 LONGEST = 48
-KNOWN = 400_000
+KNOWN = 200_000
+# Documents a task describes at a time.
+DOCS = 512
 
 _INSIDE = b".*_-'`~^+#@$%&\\\"=<>"
 _TABLE = bytes(32 if c < 128 and not (chr(c).isalnum() or c == 1) else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -360,7 +362,7 @@ def _fit(held: DataFrame, landmarks: int) -> Model | None:
     marks = Landmarks(spread_out(leading, landmarks))
 
     def features(batches):
-        for batch in batches:
+        for batch in (b.slice(k, DOCS) for b in batches for k in range(0, b.num_rows, DOCS)):
             row, _, x = sentence_features(batch["text"].to_pylist(), marks)
             ids = np.array(batch["doc_id"].to_pylist(), dtype=np.int64)
             toxic = np.array(batch["toxic"].to_pylist(), dtype=np.int64)
@@ -417,15 +419,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     bare = float(model.margin(np.zeros((1, len(model.landmarks.words))))[0])
 
     def run(batches):
-        for batch in batches:
-            row, sentence, x = sentence_features(batch["text"].to_pylist(), model.landmarks)
-            best, at = np.full(batch.num_rows, bare), np.full(batch.num_rows, -1)
-            margin = model.margin(x)
-            for k in np.argsort(margin, kind="stable").tolist():
-                if margin[k] >= best[row[k]]:
-                    best[row[k]], at[row[k]] = margin[k], sentence[k]
-            columns = [*batch.columns, pa.array(model.score(best)), pa.array(at.astype(np.int32), mask=at < 0)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        for whole in batches:
+            for batch in (whole.slice(k, DOCS) for k in range(0, whole.num_rows, DOCS)):
+                row, sentence, x = sentence_features(batch["text"].to_pylist(), model.landmarks)
+                best, at = np.full(batch.num_rows, bare), np.full(batch.num_rows, -1)
+                margin = model.margin(x)
+                for k in np.argsort(margin, kind="stable").tolist():
+                    if margin[k] >= best[row[k]]:
+                        best[row[k]], at[row[k]] = margin[k], sentence[k]
+                columns = [*batch.columns, pa.array(model.score(best)), pa.array(at.astype(np.int32), mask=at < 0)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return plain.mapInArrow(run, schema)
 
