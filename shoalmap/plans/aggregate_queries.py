@@ -9,9 +9,11 @@ from shoalmap.operators import aggregates as ag
 from shoalmap.operators import importance as im
 from shoalmap.operators import losses as ls
 from shoalmap.operators import runs as rn
+from shoalmap.operators.features import as_vectors
 from shoalmap.operators.joins import presence_absence, range_new_hucs
-from shoalmap.operators.linear import ols
+from shoalmap.operators.linear import ols, predict_linear
 from shoalmap.plans.registry import R, query, r6
+from shoalmap.plans.views import VARIABLES
 
 C = F.col
 
@@ -659,6 +661,26 @@ def _(v):
     return fit.select("species", "var", *[r6(c).alias(c) for c in ("b", "b_standard", "mse")])
 
 
+@query(
+    "d49_ols_all_variables",
+    "truth features",
+    f"""WITH w AS (SELECT comid, count(x) AS have FROM features WHERE var IN ({", ".join(repr(n) for n, _k in VARIABLES)}) GROUP BY comid),
+       n AS (SELECT species, count(*) AS n FROM truth JOIN w USING (comid) WHERE have = {len(VARIABLES)} GROUP BY species)
+       SELECT species, var, n, CAST(0 AS DOUBLE) AS gap FROM n, (VALUES ('(intercept)'), {", ".join(f"('{n}')" for n, _k in VARIABLES)}) v(var)""",
+)
+def _(v):
+    """The solve with all variables: residuals have no product with any of them (`gap`)."""
+    names = [n for n, _k in VARIABLES]
+    x = as_vectors(v.features.filter(C("var").isin(*names)), [], names).filter(~F.exists("xs", lambda x: x.isNull()))
+    rows = v.truth.join(x, "comid")
+    fit = ols(rows, ["species"], "xs", "y", names)
+    residual = predict_linear(rows, fit, ["species"], "xs", names, value="b").withColumn("r", C("y") - C("yhat"))
+    parts = [F.struct(F.lit("(intercept)").alias("var"), C("r").alias("g"))]
+    parts += [F.struct(F.lit(n).alias("var"), (C("r") * C("xs")[i]).alias("g")) for i, n in enumerate(names)]
+    sums = residual.select("species", F.inline(F.array(*parts))).groupBy("species", "var").agg(F.count("*").alias("n"), F.sum("g").alias("g"))
+    return sums.select("species", "var", "n", F.when(F.abs(C("g")) <= 1e-6 * C("n"), 0.0).otherwise(C("g")).alias("gap"))
+
+
 @query(
     "d50_by_repeat",
     "coef",

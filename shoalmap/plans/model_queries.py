@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoalmap.operators import boosted as bo
 from shoalmap.operators import clusters as cl
 from shoalmap.operators import features as ft
 from shoalmap.operators import folded as fo
@@ -177,12 +178,6 @@ def _(v):
     return md.predict(model, data).select("species", "comid", "y", "yhat")
 
 
-@query("h11_fit_gbt")
-def _(v):
-    data = vectors(v)
-    return md.predict(md.fit_gbt(data, trees=3), data).select("species", "comid", "y", "yhat")
-
-
 KEY = ["species"]
 # Sample sizes per species and fold in SQL; folds differ by one row at most, the first ones are larger.
 FOLDS_SQL = f"""n AS (SELECT species, count(*) AS n FROM truth WHERE comid IN (SELECT comid FROM features) GROUP BY ALL),
@@ -260,6 +255,31 @@ def _(v):
     return optimal_fits(v, "svc")
 
 
+def boosted(v, reps):
+    blocks, prepared = folded_sample(v, reps=reps)
+    edges = bo.bin_edges(blocks, prepared, KEY)
+    return blocks, bo.fit_boosted(blocks, edges, KEY)
+
+
+@query(
+    "h11_boosted_all_species",
+    "truth features",
+    f"""WITH {FOLDS_SQL} SELECT species, rep_idx, split_idx, n - n_test AS n_train, {bo.TREES} AS trees, true AS fell FROM folds WHERE rep_idx = 0""",
+)
+def _(v):
+    """Boosted trees of every species and fold of one repeat, with all trees, and whether the training loss fell."""
+    _blocks, fitted = boosted(v, 1)
+    losses = C("losses")
+    return fitted.select("species", "rep_idx", "split_idx", C("n").cast("long").alias("n_train"), (F.size(losses) - 1).alias("trees"), (F.element_at(losses, -1) < losses[0]).alias("fell"))
+
+
+@query("h11_fit_gbt")
+def _(v):
+    """Out-of-fold classes of the boosted trees of every species."""
+    blocks, fitted = boosted(v, 1)
+    return from_id(bo.predict_boosted(blocks, fitted, KEY), "comid")
+
+
 @query("h08_coefficients")
 def _(v):
     """Weights per raw unit and standardised, of every species and fold."""
@@ -419,7 +439,7 @@ def _(v):
 @query("h20_novelty_score")
 def _(v):
     data = vectors(v)
-    scored = md.novelty_score(data.filter(C("y") == 1), data, len(NAMES), nu=0.05, count=16)
+    scored = md.novelty_score(data.filter(C("y") == 1), data, len(NAMES), nu=0.05)
     per = scored.groupBy("species").agg(F.sum(C("weight") * F.when(C("y") == 1, 1).otherwise(-1) * C("inside")).alias("score"))
     return per.withColumn("score", r6("score"))
 
@@ -432,26 +452,26 @@ def _(v):
 
 # --- kernels: batches of 50 catchments by id ------------------------------------------------------
 
-KERNEL_NAMES = ["PctUrbCat", "PctAgWs", "ElevCat"]
+KERNEL_NAMES = ["PctUrbCat", "PctAgWs", "ElevCat", "RdDensCat"]
 POINTS = """p AS (SELECT CAST(comid AS BIGINT) AS c, CAST(floor(CAST(comid AS BIGINT) / 50) AS BIGINT) AS batch, comid AS id, max(CASE WHEN var = 'PctUrbCat' THEN x END) AS x0,
-       max(CASE WHEN var = 'PctAgWs' THEN x END) AS x1, max(CASE WHEN var = 'ElevCat' THEN x END) AS x2, max(CASE WHEN var = 'BFIWs' THEN x END) AS y
-       FROM features GROUP BY comid HAVING x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL)"""
-K3 = "exp(-0.5 * ((a.x0 - b.x0) * (a.x0 - b.x0) / 4 + (a.x1 - b.x1) * (a.x1 - b.x1) / 9 + (a.x2 - b.x2) * (a.x2 - b.x2) / 6.25))"
-BW = [2.0, 3.0, 2.5]
+       max(CASE WHEN var = 'PctAgWs' THEN x END) AS x1, max(CASE WHEN var = 'ElevCat' THEN x END) AS x2, max(CASE WHEN var = 'RdDensCat' THEN x END) AS x3, max(CASE WHEN var = 'BFIWs' THEN x END) AS y
+       FROM features GROUP BY comid HAVING x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND y IS NOT NULL)"""
+K4 = "exp(-0.5 * ((a.x0 - b.x0) * (a.x0 - b.x0) / 4 + (a.x1 - b.x1) * (a.x1 - b.x1) / 9 + (a.x2 - b.x2) * (a.x2 - b.x2) / 6.25 + (a.x3 - b.x3) * (a.x3 - b.x3) / 2.25))"
+BW = [2.0, 3.0, 2.5, 1.5]
 
 
 def points(v):
     wide = kn.as_points(v.features, [*KERNEL_NAMES, "BFIWs"])
     c = C("comid").cast("bigint")
     return wide.select(
-        C("comid").alias("id"), F.floor(c / 50).alias("batch"), F.slice("xs", 1, 3).alias("xs"), C("xs")[3].alias("y"), (c % 50 / 10).cast("int").alias("part")
+        C("comid").alias("id"), F.floor(c / 50).alias("batch"), F.slice("xs", 1, 4).alias("xs"), C("xs")[4].alias("y"), (c % 50 / 10).cast("int").alias("part")
     )
 
 
 @query(
     "c20_pair_distance",
     "features",
-    f"""WITH {POINTS}, d AS (SELECT a.batch, a.id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS l2, abs(a.x2 - b.x2) AS g FROM p a JOIN p b ON a.batch = b.batch AND a.id <> b.id)
+    f"""WITH {POINTS}, d AS (SELECT a.batch, a.id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) + (a.x3 - b.x3) * (a.x3 - b.x3)) AS l2, abs(a.x2 - b.x2) AS g FROM p a JOIN p b ON a.batch = b.batch AND a.id <> b.id)
        SELECT batch, id, CAST(count(*) AS INTEGER) AS partners, {R("min(l2)", "nearest")}, {R("avg(l2)", "mean_l2")}, {R("max(g)", "widest_gap")} FROM d GROUP BY ALL""",
 )
 def _(v):
@@ -469,9 +489,9 @@ def _(v):
     "d47_kde",
     "features",
     f"""WITH {POINTS}, n AS (SELECT batch, count(*) AS n FROM p GROUP BY batch),
-       s AS (SELECT a.id, sum(exp(-(a.x0 - b.x0) * (a.x0 - b.x0) / 8)) * sum(exp(-(a.x1 - b.x1) * (a.x1 - b.x1) / 18)) * sum(exp(-(a.x2 - b.x2) * (a.x2 - b.x2) / 12.5)) AS s FROM p a JOIN p b USING (batch) GROUP BY a.id)
-       SELECT a.id, {R("sum(k) / any_value(n)", "plain")}, {R("1e4 * sum(k) / any_value(n) / pow(any_value(n), 3)", "own_n")}, {R("1e4 * sum(k / s) / any_value(n)", "self")}
-       FROM (SELECT a.id, a.batch, b.id AS bid, {K3} AS k FROM p a JOIN p b USING (batch)) a JOIN s ON s.id = a.bid JOIN n ON n.batch = a.batch GROUP BY a.id""",
+       s AS (SELECT a.id, sum(exp(-(a.x0 - b.x0) * (a.x0 - b.x0) / 8)) * sum(exp(-(a.x1 - b.x1) * (a.x1 - b.x1) / 18)) * sum(exp(-(a.x2 - b.x2) * (a.x2 - b.x2) / 12.5)) * sum(exp(-(a.x3 - b.x3) * (a.x3 - b.x3) / 4.5)) AS s FROM p a JOIN p b USING (batch) GROUP BY a.id)
+       SELECT a.id, {R("sum(k) / any_value(n)", "plain")}, {R("1e4 * sum(k) / any_value(n) / pow(any_value(n), 4)", "own_n")}, {R("1e4 * sum(k / s) / any_value(n)", "self")}
+       FROM (SELECT a.id, a.batch, b.id AS bid, {K4} AS k FROM p a JOIN p b USING (batch)) a JOIN s ON s.id = a.bid JOIN n ON n.batch = a.batch GROUP BY a.id""",
 )
 def _(v):
     p = points(v)
@@ -484,7 +504,7 @@ def _(v):
 @query(
     "h21_nw_predict",
     "features",
-    f"""WITH {POINTS}, k AS (SELECT a.id, {K3} AS k, b.y FROM p a JOIN p b ON a.batch = b.batch AND b.c % 50 < 25 WHERE a.c % 50 >= 25)
+    f"""WITH {POINTS}, k AS (SELECT a.id, {K4} AS k, b.y FROM p a JOIN p b ON a.batch = b.batch AND b.c % 50 < 25 WHERE a.c % 50 >= 25)
        SELECT id, {R("sum(k * y) / sum(k)", "yhat")}, {R("sum(k * y)", "raw")} FROM k GROUP BY id""",
 )
 def _(v):
@@ -498,7 +518,7 @@ def _(v):
 @query(
     "h22_nested_bandwidth",
     "features",
-    f"""WITH {POINTS}, d AS (SELECT a.batch, a.id, b.id AS bid, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) AS q FROM p a JOIN p b USING (batch)),
+    f"""WITH {POINTS}, d AS (SELECT a.batch, a.id, b.id AS bid, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) + (a.x3 - b.x3) * (a.x3 - b.x3) AS q FROM p a JOIN p b USING (batch)),
        p2 AS (SELECT id, pow(avg(exp(-q / 32)), 0.5) AS b FROM d GROUP BY id), p1 AS (SELECT d.id, pow(avg(exp(-q / 18) * p2.b), 2) AS b FROM d JOIN p2 ON p2.id = d.bid GROUP BY d.id),
        r2 AS (SELECT id, pow(sum(exp(-q / 32)), 0.5) AS b FROM d GROUP BY id), r1 AS (SELECT d.id, pow(sum(exp(-q / (2 * r2.b * r2.b))), 1) AS b FROM d JOIN r2 ON r2.id = d.bid GROUP BY d.id)
        SELECT id, {R("p1.b", "product")}, {R("r1.b", "recursive")} FROM p1 JOIN r1 USING (id)""",
@@ -513,7 +533,7 @@ def _(v):
 @query(
     "h23_nw_crossval",
     "features",
-    f"""WITH {POINTS}, k AS (SELECT a.id, {K3} AS k, b.y FROM p a JOIN p b ON a.batch = b.batch AND floor((a.c % 50) / 10) <> floor((b.c % 50) / 10))
+    f"""WITH {POINTS}, k AS (SELECT a.id, {K4} AS k, b.y FROM p a JOIN p b ON a.batch = b.batch AND floor((a.c % 50) / 10) <> floor((b.c % 50) / 10))
        SELECT id, {R("sum(k * y) / sum(k)", "yhat")} FROM k GROUP BY id HAVING sum(k) > 1e-6""",
 )
 def _(v):

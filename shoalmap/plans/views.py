@@ -92,15 +92,17 @@ class Views:
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(F.concat_ws(" ", "p_brand", "p_type").alias("species"), _huc8().alias("huc8"))
+            .select(F.when(F.col("p_partkey") % 41 == 0, F.concat(F.lit("Unseen "), "p_brand")).otherwise(F.concat_ws(" ", "p_brand", "p_type")).alias("species"), _huc8().alias("huc8"))
             .distinct()
         )
 
     @cached_property
     def metric_raw(self) -> DataFrame:
         key = F.col("o_orderkey")
+        # Some catchments of the survey have no metrics, and some metrics no catchment.
+        place = F.col("o_custkey") + F.when(F.col("o_custkey") % 11 == 5, 100_000_000).otherwise(0)
         return self.table("orders").select(
-            F.col("o_custkey").cast("string").alias("comid"),
+            place.cast("string").alias("comid"),
             F.concat(
                 F.lit("Pct"), F.substring("o_orderpriority", 1, 1), F.year("o_orderdate").cast("string"), F.lit("Cat")
             ).alias("metric"),
@@ -279,14 +281,14 @@ WHERE l_returnflag = 'R' AND o_custkey % 3 <> 0 AND n_nationkey <> 24""",
     ),
     "species_range": (
         (),
-        f"""SELECT DISTINCT p_brand || ' ' || p_type AS species, {HUC8_SQL} AS huc8
+        f"""SELECT DISTINCT CASE WHEN p_partkey % 41 = 0 THEN 'Unseen ' || p_brand ELSE p_brand || ' ' || p_type END AS species, {HUC8_SQL} AS huc8
 FROM lineitem JOIN part ON l_partkey = p_partkey
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 WHERE l_discount = 0.1""",
     ),
     "metric_raw": (
         (),
-        """SELECT CAST(o_custkey AS STRING) AS comid,
+        """SELECT CAST(o_custkey + CASE WHEN o_custkey % 11 = 5 THEN 100000000 ELSE 0 END AS STRING) AS comid,
        'Pct' || substr(o_orderpriority, 1, 1) || CAST(year(o_orderdate) AS STRING) || 'Cat' AS metric,
        CASE WHEN o_orderkey % 97 = 0 THEN 'NA' WHEN o_orderkey % 101 = 0 THEN ''
             ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END AS value, o_orderkey AS row_id

@@ -76,3 +76,9 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; none if it is not there."""
     at, fs = _folder(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder; one that is not there is no error."""
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)

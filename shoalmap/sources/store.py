@@ -69,9 +69,15 @@ class ResultStore:
         return out if out is not None else self.spark.createDataFrame([], "table string, n bigint")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], policy: str = "overwrite") -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], policy: str = "overwrite", order: str | None = None) -> DataFrame:
     """`overwrite`: updates win; `gen`: rows present stay; `append`: as overwrite, for nested keys
-    such as (run, block), where a run gains blocks and keeps its others."""
+    such as (run, block), where a run gains blocks and keeps its others.
+
+    `order` names the column by which one of several updates of a key counts: the last, with `gen` the
+    first. Without it `updates` must have one row per key.
+    """
+    if order is not None:
+        updates = latest_update(updates, keys, order, first=policy == "gen")
     if policy in ("overwrite", "append"):
         kept = target.join(updates.select(*keys).distinct(), keys, "left_anti")
         return kept.select(*target.columns).unionByName(updates.select(*target.columns))
