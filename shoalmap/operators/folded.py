@@ -204,6 +204,29 @@ def preparations(blocks: DataFrame, keys: list[str], k: int, reps: int, inner: i
     return cut(per_fold.groupBy(*keys, "rep_idx").applyInPandas(fit, schema), "preparations")
 
 
+def thinned(blocks: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """(keys, n, x, folds, inners) with about `rows` rows of a group, those with the smallest hashes of
+    their ids; all rows of a smaller group."""
+    sizes = blocks.groupBy(*keys).agg(F.sum("n").alias("total"))
+    columns = ["n", "x", "folds", "inners"]
+    schema = T.StructType([*key_fields(blocks, keys), *[blocks.schema[c] for c in columns]])
+
+    def thin(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            out = []
+            for row in table.itertuples(index=False):
+                block = Block(row)
+                share = rows / row.total
+                at = np.ones(block.n, dtype=bool)
+                if share < 1:
+                    at = pd.util.hash_array(np.asarray(row.ids, dtype=object)) < np.uint64(share * (2**64 - 2**12))
+                if at.any():
+                    out.append([*[getattr(row, k) for k in keys], int(at.sum()), *[m[at].tobytes() for m in (block.x, block.folds, block.inners)]])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return blocks.join(sizes, keys).select(*keys, "n", "ids", "x", "y", "folds", "inners", "total").mapInPandas(thin, schema)
+
+
 def fitted_rows(points: DataFrame, prepared: DataFrame, keys: list[str], names: list[str], xs: str) -> DataFrame:
     """Rows of any table once per training set of their group, with x filled and standardised as that
     training set says: (all columns, rep_idx, split_idx, inner_idx) and xs replaced."""

@@ -255,6 +255,15 @@ def _(v):
     return optimal_fits(v, "svc")
 
 
+@query("h10_rbf_svc_all_species", "truth features", OPTIMAL_SQL)
+def _(v):
+    """RBF machine of every species and fold on landmarks of its own training rows."""
+    blocks, prepared = folded_sample(v)
+    models = gr.landmark_models(blocks, prepared, KEY, [1.0], [gr.RBF_GAMMAS[1]])
+    fitted = gr.fit_models(blocks, models, KEY, "svc")
+    return fitted.select("species", "rep_idx", "split_idx", C("n").cast("long").alias("n_train"), (C("residual") <= 1e-8).alias("optimal"))
+
+
 def boosted(v, reps):
     blocks, prepared = folded_sample(v, reps=reps)
     edges = bo.bin_edges(blocks, prepared, KEY)

@@ -12,7 +12,7 @@ from shoalmap.functions.records import content_id
 from shoalmap.operators.aggregates import basic_meta
 from shoalmap.plans.registry import R, query, r6
 from shoalmap.session import scratch_path
-from shoalmap.sources import files, store
+from shoalmap.sources import buckets, files, store
 from shoalmap.streaming.upsert import newest, stream_upsert
 
 C = F.col
@@ -177,6 +177,23 @@ def _(v):
     return newest(v.spark, sink, query_)
 
 
+@query(
+    "a09_bucket_stream",
+    "model_runs",
+    """SELECT species, config_id, run_seq, loss FROM (SELECT *, row_number() OVER (PARTITION BY species, config_id ORDER BY run_seq DESC) AS k FROM model_runs) WHERE k = 1""",
+)
+def _(v):
+    """The same updates into a table in buckets, of which a batch rewrites those it touches."""
+    source, sink = scratch_path(v.spark, "updates"), scratch_path(v.spark, "buckets")
+    runs = v.model_runs.select("species", "config_id", "run_seq", "loss")
+    half = runs.agg(F.percentile_approx("run_seq", 0.5)).scalar()
+    runs.filter(C("run_seq") > half).coalesce(1).write.mode("append").parquet(source)
+    runs.filter(C("run_seq") <= half).coalesce(1).write.mode("append").parquet(source)
+    stream = v.spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    buckets.stream_buckets(stream, sink, ["species", "config_id"], "run_seq", "overwrite", scratch_path(v.spark, "progress"), buckets=8).awaitTermination()
+    return buckets.read_buckets(v.spark, sink)
+
+
 @query("a11_cached", "truth", f"SELECT species, count(*) AS n, {R('avg(y)', 'y_mean')} FROM truth GROUP BY species")
 def _(v):
     base, top = scratch_path(v.spark, "truth"), scratch_path(v.spark, "meta")
