@@ -25,6 +25,8 @@ from shoalmap.operators.numbering import number_hashed
 from shoalmap.session import cut
 
 BLOCK_ROWS = 2000
+# Blocks of a group that meet its models in one task.
+SLOT = 16
 # Folds and repeats of the outer cross-validation.
 OUTER_SPLITS, OUTER_REPEATS = 5, 10
 # Numbers of partial sums a task holds before it sends them on.
@@ -241,6 +243,23 @@ def chunked(models: DataFrame, keys: list[str], columns: list[str], per_chunk: i
     return models.groupBy(*keys, chunk.alias("chunk")).agg(F.collect_list(F.struct(*columns)).alias("models"))
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for work that is heavy for its bytes, which would be merged into a few by their size."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def met(blocks: DataFrame, models: DataFrame, keys: list[str], columns: list[str], per_chunk: int = 64) -> DataFrame:
+    """Blocks with the models of their group in arrays. `SLOT` blocks of a group meet in one task, so a large
+    group is many tasks, each with a copy of its models."""
+    n = task_count(blocks)
+    slot = F.floor(F.col("block") / SLOT).cast("int")
+    tops = blocks.groupBy(*keys).agg(F.max(slot).alias("_top"))
+    arrays = chunked(models, keys, columns, per_chunk).join(tops, keys).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    rows = blocks.withColumn("slot", slot).repartition(n, *keys, "slot")
+    return rows.join(arrays.drop("_top").repartition(n, *keys, "slot"), [*keys, "slot"])
+
+
 def fold_models(prepared: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
     """A model per training set and value of C, numbered inside its group."""
     every = prepared.withColumn("C", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
