@@ -37,6 +37,8 @@ from shoalmap.session import cut
 WINDOW = 5
 SHARE = 0.8
 MAX_WINDOWS = 1_000_000
+# Documents a task reads at a time.
+DOCS = 512
 CAPITALS = 0.6
 # A passage of an item: so many words in a row, or this share of a shorter item.
 PASSAGE, PART = 13, 0.75
@@ -152,7 +154,7 @@ def _windows(wanted: np.ndarray | None, short: list[int] | None = None):
 
     def run(batches):
         units = _unit_hashes()
-        for batch in batches:
+        for batch in (b.slice(k, DOCS) for b in batches for k in range(0, b.num_rows, DOCS)):
             ids, keys = batch.column("id"), batch.column("key")
             rows, hashes, places, slots, plain, sizes = [], [], [], [], [], []
             texts = batch.column("text").to_pylist()

@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, ids: bool = False)
     def run(batches):
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer, markers=True)
         _ENCODERS[tokenizer] = encoder
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             own, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(texts), 256):
                 rows = []

@@ -47,9 +47,9 @@ DECAY = 0.75
 LEAST = 0.35
 LEAN = 3.2
 LONGEST = 48
-KNOWN = 200_000
+KNOWN = 100_000
 # Documents a task describes at a time.
-DOCS = 512
+DOCS = 256
 
 _INSIDE = b".*_-'`~^+#@$%&\\\"=<>"
 _TABLE = bytes(32 if c < 128 and not (chr(c).isalnum() or c == 1) else ord(chr(c).lower()) if c < 128 else c for c in range(256))
