@@ -37,6 +37,21 @@ def species_lists(survey: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
     return heads, places
 
 
+def species_occurrences(survey: DataFrame, order: list[str]) -> DataFrame:
+    """(species, species_index, row_index, comid, huc8): species numbered from 0 as they are first seen, with
+    the rows of the survey they occur in, numbered from 0 along `order`; rows that tie follow by species, place and region.
+
+    The lists stay rows, as in `species_lists`.
+    """
+    columns = ["species", "comid", "huc8"]
+    order = [*order, *[c for c in columns if c not in order]]
+    rows = cut(running(survey.select(*order), [], order, _row=("row", None)).select(*columns, "_row"))
+    firsts = rows.groupBy("species").agg(F.min("_row").alias("_first"))
+    seen = running(firsts, [], ["_first"], _seen=("row", None))
+    index = lambda name: (F.col(name) - 1).cast("long")
+    return rows.join(seen, rows["species"].eqNullSafe(seen["species"])).select(rows["species"], index("_seen").alias("species_index"), index("_row").alias("row_index"), "comid", "huc8")
+
+
 def distinct_comids(survey: DataFrame) -> DataFrame:
     return survey.select("comid").distinct()
 

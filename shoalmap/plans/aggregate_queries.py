@@ -36,6 +36,17 @@ def _(v):
     return first.join(places, "species")
 
 
+@query(
+    "d01_species_occurrences",
+    "survey",
+    """SELECT species, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS species_index, row_index, comid, huc8 FROM
+       (SELECT *, min(row_index) OVER (PARTITION BY species) AS first FROM
+       (SELECT species, comid, huc8, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, species NULLS FIRST, comid NULLS FIRST, huc8 NULLS FIRST) - 1 AS BIGINT) AS row_index FROM survey))""",
+)
+def _(v):
+    return ag.species_occurrences(v.survey, ["l_orderkey", "l_linenumber"])
+
+
 @query(
     "d02_distinct_comids",
     "survey",

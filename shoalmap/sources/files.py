@@ -17,20 +17,22 @@ SPECIES_IN_PATH = r"species-([(a-z)]+(\s[\-\.a-z]+)+)_"
 REGION_IN_PATH = r"Region(..)"
 LONG_SCHEMA = "region string, comid string, metric string, value string"
 CHUNK_ROWS = 50_000
-QUOTED = {"quote": '"', "escape": '"', "multiLine": True}
+QUOTED = {"quote": '"', "escape": '"'}
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """CSV with a header; every value stays text, empty ones too.
 
-    Quoted values may hold commas, doubled quotes and line breaks, so a file is read by one task.
+    Quoted values may hold commas, doubled quotes and, with `line_breaks`, line ends; then a file is read by
+    one task. Without, large files are split.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, **QUOTED)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, **QUOTED)
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def read_crosswalk(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """The five crosswalk columns, ids as text; other columns are never read."""
+    """The five crosswalk columns, ids as text; other columns are never read. Its CSV has ids and
+    numbers only, no line ends inside quotes, so large files are split."""
     raw = spark.read.csv(path, header=True, **QUOTED) if form == "csv" else spark.read.parquet(path)
     ids = [F.col(c).cast("string").alias(c.lower()) for c in ("COMID", "HUC12", "REACHCODE", "TOHUC")]
     return raw.select(*ids, F.col("Length").cast("double").alias("length"))
