@@ -6,13 +6,14 @@ records into gzipped archive files; the line separator is the two line ends that
 
 Reading: each archive is parsed record by record. Its captures, sorted by URL key and timestamp, are a
 run. The index is cut into ranges of (URL key, timestamp, page_id), so that one busy URL can fill several
-ranges; in each range a loser tree merges what the runs hold of it. The result is in global order, with a
-number per capture inside its URL's history.
+ranges; in each range a loser tree merges what the runs hold of it. The result is in global order;
+`histories` sums it up by URL.
 
 Defined results: null html is an empty payload; payloads below 100 bytes are never revisits; null URLs
 have an empty key; line ends inside a URL are escaped, so no header can be forged; rows with a null page_id come last and do
-not become the response of others unless all pages with the payload have none. Rows that share a page_id
-and a payload are told apart by a row number, so each has its record.
+not become the response of others unless all pages with the payload have none. A record's id is made of page_id and payload
+digest, so rows that share a page_id but not the payload have ids of their own; rows that share both are one page written
+as often as it is given, each a record with the same id. A task holds an archive whole while it parses it.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ def with_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def record(captured: Column) -> Column:
     """Text of a WARC record without the line ends that close it."""
     end = F.lit("\r\n")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    # A revisit has the digest of the response it refers to.
+    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), F.col("payload_digest"), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace("url", "%0([AD])", "%250$1"), "\r", "%0D")
     url = F.regexp_replace(url, "\n", "%0A")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(""))
@@ -102,8 +104,8 @@ def parse(data: bytes, archive: str):
             if (hashlib.sha256(body).hexdigest(), len(body)) != (digest, length):
                 raise ValueError(f"{archive} at {at}: the payload does not have the digest of its header")
         url = head["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%250", "%0")
-        page = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-        refers = head.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">")
+        page = head["WARC-Record-ID"].removeprefix("<urn:page:").partition(":")[0]
+        refers = head.get("WARC-Refers-To", "").removeprefix("<urn:page:").partition(":")[0]
         yield (int(page) if page else None, url, url_key(url), head["WARC-Date"], head["WARC-Type"], int(refers) if refers else None, length, digest, archive, at)
         at = stop + 4
 
