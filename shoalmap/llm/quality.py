@@ -6,8 +6,10 @@ linear in the measures. The weights minimise the logistic loss over pairs of a d
 one labelled 0. The threshold is a quantile of the scores of the labelled documents: the share of label
 0 lies below it. Scores are mapped to 0..1 so that the threshold is 0.7.
 
-Bounds: the model is fitted on at most `MAX_DOCS` labelled documents (those with the smallest hash of
-doc_id), and on at most `PAIRS` pairs, drawn with a fixed seed. Scoring reads all texts whole.
+All labelled documents are learned from, none is left out: they are dealt by a hash of doc_id into groups
+of about `GROUP` (fewer groups where one label is rare, so that each has both), and every pair of a group
+counts. Sums of loss, gradient and curvature are made in the tasks, a Newton step reads one row of sums
+per task; quantiles are exact and of all scores.
 
 Defined results: null and empty texts have all measures zero and get a score like any other text; equal
 texts score alike. Without labels of both kinds every score is 0.7. Labels that are null are not learned
@@ -16,6 +18,7 @@ from; a doc_id with several label rows has their smallest quality.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-MAX_DOCS = 20_000
-PAIRS = 200_000
+from shoalmap.operators.numbering import quantiles
+from shoalmap.session import cut
+
+GROUP = 256
+# Rarer label's documents expected in a group at least.
+RARE = 8
 CUT = 0.7
 # Frequent words of four languages.
 COMMON = frozenset(
@@ -84,69 +91,108 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def bradley_terry(difference: np.ndarray, ridge: float = 1.0, tolerance: float = 1e-8) -> np.ndarray:
-    """Weights that minimise the logistic loss of preferred-minus-other differences, by Newton steps."""
-    w = np.zeros(difference.shape[1])
+def newton(sums: Callable[[np.ndarray], np.ndarray], width: int, pairs: int, ridge: float = 1.0, tolerance: float = 1e-8) -> np.ndarray:
+    """Weights that minimise a loss whose value, gradient and curvature at w are `sums(w)`, flattened."""
 
-    def loss(w):
-        return np.logaddexp(0, -(difference @ w)).sum() + 0.5 * ridge * w @ w
+    def at(w):
+        got = sums(w)
+        return got[0] + 0.5 * ridge * w @ w, got[1 : 1 + width] + ridge * w, got[1 + width :].reshape(width, width) + ridge * np.eye(width)
 
-    while True:
-        p = 1 / (1 + np.exp(np.clip(difference @ w, -60, 60)))
-        gradient = ridge * w - difference.T @ p
-        if np.abs(gradient).max() <= tolerance * len(difference):
-            return w
-        curve = (difference * (p * (1 - p))[:, None]).T @ difference + ridge * np.eye(len(w))
-        step, size, now = np.linalg.solve(curve, gradient), 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-10:
+    w = np.zeros(width)
+    now, gradient, curve = at(w)
+    while np.abs(gradient).max() > tolerance * pairs:
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while (tried := at(w - size * step))[0] > now and size > 1e-10:
             size /= 2
         if size <= 1e-10:
             return w
-        w = w - size * step
+        w, (now, gradient, curve) = w - size * step, tried
+    return w
+
+
+def pair_sums(up: np.ndarray, down: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic loss of all pairs of a preferred and another row, its gradient and curvature, flattened."""
+    width, total = len(w), np.zeros(1 + len(w) + len(w) ** 2)
+    # A rare label can have long groups: a few rows meet the others at a time.
+    for k in range(0, len(down), 4096):
+        some = down[k : k + 4096]
+        margin = (up @ w)[:, None] - some @ w
+        p = 1 / (1 + np.exp(np.clip(margin, -60, 60)))
+        q = p * (1 - p)
+        mixed = up.T @ q @ some
+        curve = (up * q.sum(axis=1)[:, None]).T @ up + (some * q.sum(axis=0)[:, None]).T @ some - mixed - mixed.T
+        total[0] += np.logaddexp(0, -margin).sum()
+        total[1 : 1 + width] += some.T @ p.sum(axis=0) - up.T @ p.sum(axis=1)
+        total[1 + width :] += curve.ravel()
+    return total
+
+
+def bradley_terry(difference: np.ndarray, ridge: float = 1.0, tolerance: float = 1e-8) -> np.ndarray:
+    """Weights that minimise the logistic loss of preferred-minus-other differences, by Newton steps."""
+    none = np.zeros((1, difference.shape[1]))
+    return newton(lambda w: pair_sums(difference, none, w), difference.shape[1], len(difference), ridge, tolerance)
+
+
+def task_sums(table: DataFrame, visit: Callable[[dict], np.ndarray]) -> np.ndarray | None:
+    """The sum of `visit(row)` over a table; each task sends one row of sums."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = visit(row)
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    parts = table.mapInArrow(run, "sums array<double>").toArrow()["sums"].to_pylist()
+    # Sorted, as tasks end in any order.
+    return np.sum(sorted(parts), axis=0) if parts else None
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, most_pairs: int = PAIRS, train: Column | None = None) -> Ranking | None:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, group: int = GROUP) -> Ranking | None:
     """Fit on the labelled documents for which `train` (a condition on doc_id) holds."""
     train = ~held_out(F.col("doc_id")) if train is None else train
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     marks = marks.filter(train).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # The bound on labelled rows: the smallest hashes of doc_id, the same choice at every run.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    n = marks.count()
-    if n > max_docs:
-        # Few more than are wanted reach the last sort.
-        marks = marks.filter(place <= int((1 << 40) * min(1.0, 1.1 * max_docs / n)))
-    marks = marks.orderBy(place, "doc_id").limit(max_docs)
 
     def run(batches):
         for batch in batches:
             x = table_of(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
-
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    got = held.mapInArrow(run, "doc_id long, quality int, x binary").toArrow()
-    if not got.num_rows:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    # Measured before they meet the labels: texts are not shuffled.
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(train)
+    rows = seen.mapInArrow(run, "doc_id long, x binary").join(cut(marks, "marks"), "doc_id")
+    rows = cut(rows.select("doc_id", (F.col("quality") > 0).alias("good"), "x"), "measured")
+    whole = task_sums(rows, lambda r: np.concatenate([[1.0, float(r["good"])], np.frombuffer(r["x"])]))
+    if whole is None or whole[1] in (0, whole[0]):
         return None
-    # A fixed order, so that the same pairs are drawn whatever order the tasks end in.
-    raw = np.frombuffer(b"".join(got["x"].to_pylist())).reshape(got.num_rows, N_MEASURES)
-    order = np.lexsort((*raw.T, got["doc_id"].to_numpy()))
-    x, good = raw[order], got["quality"].to_numpy()[order] > 0
-    if good.all() or not good.any():
-        return None
-    middle, scale = x.mean(axis=0), x.std(axis=0)
+    n, good, middle = int(whole[0]), int(whole[1]), whole[2:] / whole[0]
+    scale = np.sqrt(task_sums(rows, lambda r: (np.frombuffer(r["x"]) - middle) ** 2) / n)
     model = Ranking(middle, np.where(scale > 1e-9, scale, 1.0), np.zeros(N_MEASURES), 0.0, 1.0)
-    z = np.clip((x - model.middle) / model.scale, -6, 6)
-    rng = np.random.default_rng(17)
-    up, down = np.flatnonzero(good), np.flatnonzero(~good)
-    n = min(most_pairs, len(up) * len(down))
-    model.weight = bradley_terry(z[rng.choice(up, n)] - z[rng.choice(down, n)])
-    raw = model.raw(x)
-    model.threshold = float(np.quantile(raw, (~good).mean()))
-    model.steepness = float(4 / max(np.quantile(raw, 0.9) - np.quantile(raw, 0.1), 1e-9))
+    groups = max(1, min(-(-n // group), min(good, n - good) // RARE))
+    side = lambda up: F.array_sort(F.collect_list(F.when(F.col("good") == up, F.struct("doc_id", "x"))))["x"]
+    dealt = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group")).agg(side(True).alias("up"), side(False).alias("down"), F.sum(F.col("good").cast("long")).alias("n_up"), F.count(F.lit(1)).alias("n"))
+    dealt = cut(dealt.filter((F.col("n_up") > 0) & (F.col("n_up") < F.col("n"))), "dealt")
+    pairs = dealt.agg(F.sum(F.col("n_up") * (F.col("n") - F.col("n_up"))).alias("pairs")).first()["pairs"]
+    shaped = lambda xs: np.clip((np.frombuffer(b"".join(xs)).reshape(len(xs), N_MEASURES) - model.middle) / model.scale, -6, 6)
+    if not pairs:
+        return None
+    model.weight = newton(lambda w: task_sums(dealt, lambda r: pair_sums(shaped(r["up"]), shaped(r["down"]), w)), N_MEASURES, pairs)
+
+    def raw(batches):
+        for batch in batches:
+            xs = batch.column("x").to_pylist()
+            yield pa.RecordBatch.from_pydict({"raw": pa.array(model.raw(np.frombuffer(b"".join(xs)).reshape(len(xs), N_MEASURES)), pa.float64())})
+
+    places = quantiles(cut(rows.mapInArrow(raw, "raw double"), "raw"), [], "raw", {"at": 1 - good / n, "high": 0.9, "low": 0.1}).first()
+    model.threshold = places["at"]
+    model.steepness = float(4 / max(places["high"] - places["low"], 1e-9))
     return model
 
 
