@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from shoalmap.functions.ids import huc_prefix
 from shoalmap.operators.numbering import running
+from shoalmap.session import cut, tasks_for
 
 # Means are compared at nine decimals, so that equal values tie whatever the order of their sums.
 TIE_DECIMALS = 9
@@ -69,25 +70,28 @@ def id_blocks(universe: DataFrame, size: int = 100_000) -> DataFrame:
     """Every species' catchments in blocks of `size` by ascending id.
 
     The ids of a species are unique whole numbers, so a range of `size` ids holds at most `size`
-    rows: rows are numbered inside such ranges and the ranges' counts give the offsets.
+    rows: rows are numbered inside such ranges and the ranges' counts give the offsets. There are as many
+    tasks as keep each at about `TASK_ROWS` rows.
     """
     ids = universe.select("species", "comid").distinct().withColumn("_id", F.col("comid").cast("bigint"))
     ranged = ids.withColumn("_range", F.floor(F.col("_id") / size))
     earlier = Window.partitionBy("species").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("species", "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("species", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
+    counts = cut(ranged.groupBy("species", "_range").agg(F.count(F.lit(1)).alias("_n")), "ranges")
+    offsets = counts.select("species", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    n = tasks_for(ids.sparkSession, counts.agg(F.sum("_n")).first()[0] or 0)
     local = Window.partitionBy("species", "_range").orderBy("_id")
     place = F.row_number().over(local) + F.col("_offset")
-    return ranged.join(offsets, ["species", "_range"]).select(
+    dealt = ranged.repartition(n, "species", "_range").join(offsets.repartition(n, "species", "_range").hint("shuffle_hash"), ["species", "_range"])
+    return dealt.select(
         "species", "comid", F.floor((place - 1) / size).alias("block")
     )
 
 
 def block_ids(blocks: DataFrame) -> DataFrame:
-    """Count and content hash of each block's ids in ascending order."""
+    """Count and content hash of each block's ids in ascending order. The blocks are written once, so that their
+    number of rows says how many tasks hash them."""
+    blocks = cut(blocks, "blocks")
+    blocks = blocks.repartition(tasks_for(blocks.sparkSession, blocks.count()), "species", "block")
     ids = F.array_sort(F.collect_list(F.col("comid").cast("bigint")))
     text = F.concat_ws(",", F.transform(ids, lambda i: i.cast("string")))
     return blocks.groupBy("species", "block").agg(F.count(F.lit(1)).alias("n"), F.sha2(text, 256).alias("block_id"))

@@ -13,16 +13,18 @@ def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def extended_huc8(survey: DataFrame, species_range: DataFrame, given: DataFrame) -> DataFrame:
     """Survey or range HUC8s that are not in the given list."""
-    return survey.select("huc8").union(species_range.select("huc8")).subtract(given.select("huc8"))
+    # Distinct first: a set operation deals rows by their value, and a HUC8 has many.
+    both = survey.select("huc8").distinct().union(species_range.select("huc8").distinct())
+    return both.subtract(given.select("huc8").distinct())
 
 
 def unsampled_huc8(species_range: DataFrame, survey: DataFrame) -> DataFrame:
     """Range HUC8s of a species where it was not surveyed."""
-    return species_range.select("species", "huc8").subtract(survey.select("species", "huc8"))
+    return species_range.select("species", "huc8").distinct().subtract(survey.select("species", "huc8").distinct())
 
 
 def shared_ids(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    return a.distinct().intersect(b.distinct())
 
 
 def stack(dfs: list[DataFrame]) -> DataFrame:
