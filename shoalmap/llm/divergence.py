@@ -65,15 +65,17 @@ def _counted(batches):
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(counts, groups): lang, source, term and n of kept terms; lang, source and N of every group."""
+    """(terms, groups): lang, term and `sources` of kept terms, an array of (source, n) in order of source; lang,
+    source and N of every group. All counts of a term meet in one shuffle, and later steps read them from its row.
+    """
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*GROUP, "text")])
     found = plain.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    counts = cut(found.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
-    counts = cut(counts.join(kept, ["lang", "term"]).select(*GROUP, "term", "n"), "kept")
-    sizes = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
+    counts = found.repartition("lang", "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
+    terms = cut(terms.filter(F.col("docs") >= min_docs).select("lang", "term", "sources"), "kept")
+    sizes = terms.select("lang", F.inline("sources")).groupBy(*GROUP).agg(F.sum("n").alias("total"))
     groups = plain.select(*GROUP).distinct().join(sizes, GROUP, "left").select(*GROUP, F.coalesce("total", F.lit(0).cast("long")).alias("total"))
-    return counts, groups
+    return terms, groups
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -91,23 +93,31 @@ def distance(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _languages(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def _whole() -> Column:
+    """Occurrences of a term in its language."""
+    return F.aggregate("sources", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+
+def _languages(terms: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, kept (V) and lang_total (N) of every language."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("lang_total"))
+    kept = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum(_whole()).alias("lang_total"))
     none = F.lit(0).cast("long")
     return groups.select("lang").distinct().join(kept, "lang", "left").select("lang", F.coalesce("kept", none).alias("kept"), F.coalesce("lang_total", none).alias("lang_total"))
 
 
-def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source) and value, f summed over all kept terms."""
-    known = groups.join(_languages(counts, groups), "lang")
+    known = groups.join(_languages(terms, groups), "lang")
     a = known.select("lang", F.col("source").alias("a"), F.col("total").alias("a_total"), "kept")
     b = known.select("lang", F.col("source").alias("b"), F.col("total").alias("b_total"))
     # One row per pair of sources, as many as the result has.
     pairs = a.join(b, "lang").filter("a < b")
-    own = counts.groupBy(*GROUP, F.col("n").alias("c")).agg(F.count(F.lit(1)).alias("m"))
-    left, right = (counts.select("lang", "term", F.col("source").alias(x), F.col("n").alias(f"c{x}")) for x in "ab")
-    both = left.join(right, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("m"))
+    own = terms.select("lang", F.inline("sources").alias("source", "c")).groupBy(*GROUP, "c").agg(F.count(F.lit(1)).alias("m"))
+    # Each source of a term with those after it in the array.
+    first = terms.select("lang", "sources", F.posexplode("sources").alias("i", "x"))
+    after = F.inline(F.slice("sources", F.col("i") + 2, F.size("sources"))).alias("b", "cb")
+    both = first.select("lang", F.col("x.source").alias("a"), F.col("x.n").alias("ca"), after)
+    both = both.groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("m"))
     zero = F.lit(0).cast("long")
 
     def cells(df: DataFrame, *parts: tuple[Column, Column, Column]) -> DataFrame:
@@ -130,12 +140,11 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return summed.select("lang", "value", sides).select(*GROUP, "item", "value")
 
 
-def top_terms(counts: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
+def top_terms(terms: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, item (a term), value and rank of the terms a source has above its language."""
-    totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    paired = cut(counts.join(totals, ["lang", "term"]), "paired")
+    paired = terms.select("lang", "term", _whole().alias("lang_n"), F.inline("sources"))
     cell = [*GROUP, "n", "lang_n"]
-    cells = paired.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).join(groups, GROUP).join(_languages(counts, groups), "lang")
+    cells = paired.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).join(groups, GROUP).join(_languages(terms, groups), "lang")
     p, q = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
     cells = cut(cells.withColumn("p", p).withColumn("q", q).filter("p > q").select(*cell, "m", distance(F.col("p"), F.col("q")).alias("value")), "cells")
     values = cells.groupBy(*GROUP, "value").agg(F.sum("m").alias("m"))
@@ -143,8 +152,10 @@ def top_terms(counts: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame
     values = values.withColumn("at", F.row_number().over(falling)).filter(F.col("at") <= top)
     before = F.sum("m").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
     values = values.withColumn("before", before).filter(F.col("before") < top).select(*GROUP, "value", "before")
+    # Written, so that the planner knows how few cells have the largest values, and terms stay where they are.
+    largest = cut(cells.join(values, [*GROUP, "value"]).select(*cell, "value", "before"), "largest")
     # Terms of equal value: the first `top` in UTF-8 order are chosen in the tasks already.
-    named = paired.join(cells.join(values, [*GROUP, "value"]).select(*cell, "value", "before"), cell)
+    named = paired.join(largest, cell)
     inside = F.row_number().over(Window.partitionBy(*GROUP, "value").orderBy("term"))
     named = named.withColumn("inside", inside).filter(F.col("inside") <= top)
     rank = (F.col("before") + F.col("inside")).cast("int")
@@ -153,9 +164,9 @@ def top_terms(counts: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value and rank: sources by distance, terms by excess."""
-    counts, groups = term_counts(docs, min_docs)
+    terms, groups = term_counts(docs, min_docs)
     groups = cut(groups, "groups")
     order = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
-    pairs = pair_values(counts, groups).withColumn("rank", F.row_number().over(order).cast("int"))
-    terms = top_terms(counts, groups, top)
-    return pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term"))).select(*GROUP, "part", "item", "value", "rank")
+    pairs = pair_values(terms, groups).withColumn("rank", F.row_number().over(order).cast("int"))
+    ranked = top_terms(terms, groups, top)
+    return pairs.withColumn("part", F.lit("pair")).unionByName(ranked.withColumn("part", F.lit("term"))).select(*GROUP, "part", "item", "value", "rank")
