@@ -48,6 +48,8 @@ LEAST = 0.35
 LEAN = 3.2
 LONGEST = 48
 KNOWN = 100_000
+# Pairs of a word and a landmark whose kernel is found at once.
+PAIRS = 1024
 # Documents a task describes at a time.
 DOCS = 256
 
@@ -185,28 +187,43 @@ class Landmarks:
         data = np.frombuffer(b"".join(distinct), dtype=np.uint8)
         size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
         mask = np.bitwise_or.reduceat(_LETTER[data], np.cumsum(size) - size)
-        for k, (landmark, own) in enumerate(zip(self.masks, self.own, strict=True)):
+        pairs: dict[int, list] = {}
+        for k, landmark in enumerate(self.masks):
             length = len(self.words[k])
             need = -(-2 * int(np.bitwise_count(landmark)) // 3)
             near = np.flatnonzero((np.bitwise_count(mask & landmark) >= need) & (size >= ORDER) & (size <= 3 * length))
             for lo in range(0, len(near), 4096):
-                some = [distinct[i] for i in near[lo : lo + 4096].tolist()]
-                hit = hits(some, self.words[k])
-                close = np.flatnonzero(pairs_near(hit) >= length // 2)
-                if not len(close):
-                    continue
-                value = subsequence_kernel(hit[close])
-                some = [some[i] for i in close.tolist()]
+                some = near[lo : lo + 4096]
+                hit = hits([distinct[i] for i in some.tolist()], self.words[k])
+                some = some[pairs_near(hit) >= length // 2]
+                pairs.setdefault(length, []).append(np.stack([some, np.full(len(some), k)], axis=1))
+        found = []
+        for parts in pairs.values():
+            # Landmarks of a length go together, with words of about a length.
+            both = np.concatenate(parts)
+            both = both[np.argsort(size[both[:, 0]], kind="stable")]
+            for lo in range(0, len(both), PAIRS):
+                i, k = both[lo : lo + PAIRS].T
+                hit = _matrix([self.words[x] for x in k.tolist()])[:, :, None] == _matrix([distinct[x] for x in i.tolist()])[:, None, :]
+                value = subsequence_kernel(hit)
                 # The kernel of a word with itself is at least that of its contiguous triples, which
                 # bounds the likeness from above; only words above the bound need the exact one.
-                least = np.array([len(w) - ORDER + 1 for w in some]) * DECAY ** (2 * ORDER)
-                close = np.flatnonzero(value >= LEAST * np.sqrt(own * least))
-                if not len(close):
-                    continue
-                some = [some[i] for i in close.tolist()]
-                for w, x in zip(some, (value[close] / np.sqrt(own * own_kernel(some))).tolist(), strict=True):
-                    if x >= LEAST:
-                        self.known[w] = (*self.known[w], (k, x))
+                close = value >= LEAST * np.sqrt(self.own[k] * (size[i] - ORDER + 1) * DECAY ** (2 * ORDER))
+                found.append((i[close], k[close], value[close]))
+        if not found:
+            return
+        i, k, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(i):
+            return
+        needed, at = np.unique(i, return_inverse=True)
+        by = np.argsort(size[needed], kind="stable")
+        own = np.empty(len(needed))
+        own[by] = own_kernel([distinct[x] for x in needed[by].tolist()])
+        likeness = value / np.sqrt(self.own[k] * own[at])
+        for x in np.lexsort((i, k)).tolist():
+            if likeness[x] >= LEAST:
+                word = distinct[i[x]]
+                self.known[word] = (*self.known[word], (int(k[x]), float(likeness[x])))
 
 
 def sentence_features(texts: list[str | None], landmarks: Landmarks):
